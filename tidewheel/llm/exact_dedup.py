@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_SHIFT = 1 << 64
 
 
 def normalised(text: Column) -> Column:
@@ -36,16 +35,15 @@ def exact_duplicates(docs: DataFrame, *, normalise=normalised, content_hash=cont
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).where("doc_id is not null")
     docs = docs.select("doc_id", F.char_length("text").alias("n"), normalise(F.col("text")).alias("norm"))
     # one number that is least for the most code points, then the smallest doc_id: it keeps the aggregate in hash form
-    key = F.lit(1 << 31).cast("decimal(38,0)") - F.col("n")
-    key = key * F.lit(_SHIFT).cast("decimal(38,0)") + (F.col("doc_id").cast("decimal(38,0)") + F.lit(1 << 63).cast("decimal(38,0)"))
+    key = F.expr("cast((2147483648BD - n) * 18446744073709551616BD + (doc_id + 9223372036854775808BD) as decimal(38, 0))")
     groups = (
-        docs.select(content_hash(F.col("norm")).alias("h"), "norm", key.cast("decimal(38,0)").alias("key"))
+        docs.select(content_hash(F.col("norm")).alias("h"), "norm", key.alias("key"))
         .groupBy("h", "norm")
         .agg(F.count("*").alias("group_size"), F.min("key").alias("key"))
     )
-    low = (F.col("key") % F.lit(_SHIFT).cast("decimal(38,0)")) - F.lit(1 << 63).cast("decimal(38,0)")
+    keep = F.expr("cast(key % 18446744073709551616BD - 9223372036854775808BD as long)")
     groups = groups.select(
-        "h", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("len"), "group_size", low.cast("long").alias("keep_id")
+        "h", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("len"), "group_size", keep.alias("keep_id")
     )
     rows = docs.select(
         "doc_id", content_hash(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("len")
