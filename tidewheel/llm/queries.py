@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, near_dedup, substring_dedup
+from . import exact_dedup, language_id, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files lie; a path like any other, so callers may name another file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
 
@@ -21,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=4096, end=1)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.fold("doc_id", 4) == 2
@@ -33,7 +44,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_substring_dedup, op3_exact_dedup, op9_language_id, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op9_language_id, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
