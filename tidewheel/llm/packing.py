@@ -159,7 +159,7 @@ def _ordered(items: pa.Table) -> pa.Table:
 
 
 def _epoch(capacity: int, turn: int):
-    def run(key, items: pa.Table, elites: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], items: pa.Table, elites: pa.Table) -> pa.Table:
         shard, island = (x.as_py() for x in key)
         length = _ordered(items)["length"].to_numpy()
         came = [np.frombuffer(x, "<i4").astype(np.int64) for x in elites["bins"].to_pylist()]
@@ -201,7 +201,7 @@ def _unpacked(items: pa.Table, elites: pa.Table) -> pa.Table:
 def _repacked(capacity: int):
     """Loose bins of several shards, packed together if that saves any."""
 
-    def run(key, items: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], items: pa.Table) -> pa.Table:
         items = _ordered(items)
         length = items["length"].to_numpy()
         now = decreasing(length, capacity)
