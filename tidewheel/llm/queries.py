@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, near_dedup, packing, substring_dedup
+from . import ball_tree, exact_dedup, language_id, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=4096, end=1)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ball_tree.quantised(table(spark, sf_dir, "embeddings"))
+    return ball_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.fold("doc_id", 4) == 2
@@ -44,8 +49,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op9_language_id, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op8_exact_top_k": ball_tree.SQL}
