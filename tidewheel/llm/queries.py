@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, exact_dedup, language_id, near_dedup, packing, substring_dedup
+from . import ball_tree, exact_dedup, html_text, language_id, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
 
@@ -49,7 +53,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
