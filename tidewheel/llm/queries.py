@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, exact_dedup, html_text, language_id, near_dedup, packing, substring_dedup
+from . import ball_tree, exact_dedup, html_text, language_id, lm_scoring, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=4096, end=1)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.fold("doc_id", 5) == 1
+    found = lm_scoring.score(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ball_tree.quantised(table(spark, sf_dir, "embeddings"))
     return ball_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -53,7 +60,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op7_lm_scoring, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
