@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, exact_dedup, html_text, language_id, lm_scoring, near_dedup, packing, substring_dedup
+from . import ball_tree, exact_dedup, html_text, language_id, line_dedup, lm_scoring, near_dedup, packing, sentencepiece_codec, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_shared_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=4096, end=1)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding gives the text back."""
+    docs, model = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_codec.round_trip(docs, model)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.fold("doc_id", 5) == 1
@@ -60,7 +70,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_fm_substring_dedup, op3_exact_dedup, op5_best_fit_packing, op7_lm_scoring, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup)}
+    every = (
+        op1_html_extraction, op2_fm_substring_dedup, op3_exact_dedup, op4_line_dedup, op5_best_fit_packing,
+        op6_sentencepiece, op7_lm_scoring, op8_exact_top_k, op9_language_id, op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
