@@ -183,6 +183,24 @@ def identify(docs: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE) -> D
     return rows.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
 
 
+def _kept(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predicted(model)
+        for batch in batches:
+            found = pa.Table.from_batches(predict(iter([batch])))["lang_pred"] if batch.num_rows else pa.chunked_array([], pa.string())
+            yield batch.filter(pa.array([x != "und" for x in found.to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+    """The documents, with all their columns, whose language ``identify`` tells; in one pass, without a shuffle."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    model = spark.sparkContext.broadcast(fit(labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")), sample))
+    return docs.mapInArrow(_kept(model), docs.schema)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts

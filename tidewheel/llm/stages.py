@@ -15,8 +15,7 @@ from .scratch import Scratch, bounded_batches
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without text or letters go. Learns from all labelled documents."""
-    told = language_id.identify(docs, docs).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi")
+    return language_id.keep_identified(docs, docs)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
