@@ -1,7 +1,7 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over hashed n-gram and
-skip features (the word before, the two before, the second and the third before). The most frequent words are
+skip features (the word before, and the second before). The most frequent words are
 slots of small head classes; all other words belong to a tail class by their last two bytes, and are distributed in
 it by their smoothed counts. Training runs in rounds over disjoint parts of the training documents, which together
 are all of them: each task makes AdaGrad steps on its documents, and the tasks' updates are averaged, row by row,
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import Scratch, bounded_batches
 from .words import U, Texts, mix
 
-HEADS, SLOTS, TAILS = 16, 32, 32
+HEADS, SLOTS, TAILS = 8, 32, 24
 CLASSES = HEADS + TAILS
 #: rows of the hashed weights of both factors, words whose counts are sent to every task, rounds, tokens of a step.
 ROWS, WORD_ROWS, TOP, ROUNDS, STEP, RATE = 1 << 15, 1 << 14, 1 << 17, 3, 8192, 0.25
-FEATURES = 4
+FEATURES = 2
 _BLOCK = 512
 #: hashes that stand for the end of a text and for what lies before its begin.
 END, BEGIN = U(0x454E44), U(0x424547494E)
@@ -54,12 +54,12 @@ def features(token: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Hashes of the features of each token's history (tokens x FEATURES)."""
     place = np.arange(len(token)) - np.repeat(cut[:-1], np.diff(cut))
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         x = np.full(len(token), BEGIN, U)
         x[k:] = token[:-k] if k < len(token) else token[:0]
         x[place < k] = BEGIN
         back.append(x)
-    return np.stack([mix(back[0] * _SALT[0]), mix(back[0] * _SALT[1] + mix(back[1])), mix(back[1] * _SALT[2]), mix(back[2] * _SALT[3])], 1)
+    return np.stack([mix(x * salt) for x, salt in zip(back, _SALT, strict=False)], 1)
 
 
 @dataclass
@@ -96,13 +96,19 @@ class _Step:
 
     def __init__(self, model: Model, feature: np.ndarray, slot: np.ndarray, tail: np.ndarray):
         self.target = np.where(slot >= 0, slot // SLOTS, HEADS + tail)
-        self.rows = (feature % U(ROWS)).astype(np.int64)
-        self.p = _softmax(model.class_prior + model.weights[self.rows].sum(1))
+        self.rows = (feature & U(ROWS - 1)).astype(np.int64)
+        self.p = _softmax(_summed(model.weights, self.rows, model.class_prior))
         self.head = np.flatnonzero(slot >= 0)
         self.word = slot[self.head] % SLOTS
         own = self.target[self.head]
-        self.word_rows = (mix(feature[self.head] + (own.astype(U) + U(1))[:, None] * _SALT[1]) % U(WORD_ROWS)).astype(np.int64)
-        self.q = _softmax(model.slot_prior[own] + model.word_weights[self.word_rows].sum(1))
+        self.word_rows = (mix(feature[self.head] + (own.astype(U) + U(1))[:, None] * _SALT[3]) & U(WORD_ROWS - 1)).astype(np.int64)
+        self.q = _softmax(_summed(model.word_weights, self.word_rows, model.slot_prior[own]))
+
+
+def _summed(weights: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    for k in range(FEATURES):
+        out = out + weights[rows[:, k]]
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -113,17 +119,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _ascend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, p: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on the rows that a batch of tokens used; the gradient is the target's indicator less p."""
-    p = -p
+    p = np.negative(p)
     p[np.arange(len(target)), target] += 1
-    flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    where = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    gradient = np.add.reduceat(p[order // FEATURES], first, axis=0)
-    row, many = where[first], np.diff(np.append(first, len(where)))
-    squares[row] += (gradient * gradient).mean(1)
-    used[row] += many
-    weights[row] += RATE * gradient / np.sqrt(squares[row] + 1.0)[:, None]
+    for k in range(rows.shape[1]):
+        own = rows[:, k].astype(np.uint16)
+        order = np.argsort(own, kind="stable")  # by radix
+        where = own[order]
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        gradient = np.add.reduceat(p[order], first, axis=0)
+        row = where[first].astype(np.int64)
+        squares[row] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+        used[row] += np.diff(np.append(first, len(where)))
+        gradient *= (RATE / np.sqrt(squares[row] + 1.0))[:, None]
+        weights[row] += gradient
 
 
 def _trained(model):
@@ -213,9 +221,15 @@ def _scored(model):
 def _start(counts: DataFrame) -> tuple[Model, int, int]:
     """The untrained model, whose factors are the smoothed counts; and the numbers of training tokens and of words."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
+    # the least count that no more than TOP words reach, from a coarse histogram: nothing is sorted, no task sends its own top
+    coarse = F.floor(F.log("n") * 64)
+    bins = sorted(((r["b"], r["k"]) for r in counts.groupBy(coarse.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least = max((b for b, k in zip((b for b, _ in bins), np.cumsum([k for _, k in bins]), strict=True) if k > TOP), default=-1)
+    top = counts.where((coarse > least) | (F.col("word") == int(END))).toPandas()
     word, n, tail = top["word"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
     slot = np.full(len(word), -1, np.int64)
+    order = np.lexsort((word, -n))
+    word, n, tail = word[order], n[order], tail[order]
     # END has a slot whatever its count; the most frequent others have the rest
     ranked = np.concatenate([np.flatnonzero(word == END), np.flatnonzero(word != END)])[: HEADS * SLOTS]
     ranked = ranked[np.argsort(-n[ranked], kind="stable")]
