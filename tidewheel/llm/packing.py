@@ -9,6 +9,7 @@ end the loosest bins of many shards are packed together once more.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
@@ -21,47 +22,96 @@ from .scratch import Scratch, bounded_batches
 
 CAPACITY, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 5, 4
-#: words whose ids one Python worker remembers.
-CACHE = 500_000
+#: tokenizer words whose ids one Python worker remembers.
+REMEMBERED = 900_000
 LOOSE, MERGED = 0.98, 128
 
+#: Texts of these characters only (ASCII without apostrophe and <, letters of Latin-1) are lower-cased character by
+#: character, and cut into words as the tokenizer cuts them by the second pattern. Others are encoded by it whole.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[\\t-\\r -&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_WORD = re.compile(f"[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+
+
+class _Known(dict):
+    """Ids of words. Those not known yet give None, and are noted."""
+
+    def __init__(self):
+        self.asked: dict[str, None] = {}
+
+    def __missing__(self, word: str) -> None:
+        self.asked[word] = None
+
 
 class Encoder:
-    """Ids of whole texts, as little-endian bytes, for tokenizers in which ASCII white space always ends a word."""
+    """Ids of whole texts, as little-endian bytes, for tokenizers that lower-case, cut words as ``_WORD`` does, and whose
+    last token of a word shows that it ends one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({w for w in words if w not in self.known})
-            for w, x in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(x.ids, "<u4").tobytes()
-            return b"".join([self.known[w] for w in words])
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Known()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Many words to a text: an id that ends a word shows where the next begins."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        groups = [words[k : k + 64] for k in range(0, len(words), 64)]
+        for group, raw in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
+            cut = (4 * np.concatenate([[0], np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1])).tolist()
+            if len(cut) == len(group) + 1 and cut[-1] == len(raw):
+                self.known.update((x, raw[i:j]) for x, i, j in zip(group, cut, cut[1:], strict=False))
+            else:
+                self.known.update(zip(group, self._whole(group), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
+        out = [b""] * len(texts)
+        split = [_WORD.findall(texts[i].lower()) for i in plain]
+        parts = [[known[w] for w in s] for s in split]
+        if known.asked:
+            asked, known.asked = list(known.asked), {}
+            self._learn(asked)
+            parts = [[known[w] if x is None else x for w, x in zip(s, p, strict=True)] if None in p else p for s, p in zip(split, parts, strict=True)]
+        for i, p in zip(plain, parts, strict=True):
+            out[i] = b"".join(p)
+        rest = sorted(set(range(len(texts))) - set(plain))
+        for i, raw in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = raw
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps it from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
+        encode = encoder(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = encode(text or "") + tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, crc32(part)))
+            for begin in range(0, batch.num_rows, 256):
+                own = batch.slice(begin, 256)
+                for doc, ids in zip(own["doc_id"].to_pylist(), encode([t or "" for t in own["text"].to_pylist()]), strict=True):
+                    ids += tail
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
