@@ -30,9 +30,10 @@ def conformed(df: DataFrame, schema: StructType) -> DataFrame:
                 raise ContractError(f"required column {f.name} is missing")
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
-        own = F.col(f.name).cast(f.dataType)
+        same = df.schema[f.name].dataType.simpleString() == f.dataType.simpleString()
+        own = F.col(f.name) if same else F.col(f.name).cast(f.dataType)  # a cast can't promise that an array holds no null
         if not f.nullable:
-            own = F.when(own.isNull(), F.raise_error(F.lit(f"required column {f.name} is null")).cast(f.dataType)).otherwise(own)
+            own = F.when(own.isNull(), F.raise_error(F.lit(f"required column {f.name} is null")).cast(f.dataType.simpleString())).otherwise(own)
         out.append(own.alias(f.name))
     return df.select(*out)
 
