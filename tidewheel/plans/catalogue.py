@@ -28,11 +28,10 @@ _CLICKS = f"(SELECT event_id AS click_id, user_id, t AS left_ms FROM {_E} WHERE
 _BUYS = f"(SELECT event_id AS purchase_id, user_id, t AS right_ms FROM {_E} WHERE event_type = 'purchase')"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        _QUERIES[name or f.__name__] = f
+        _SQL[name or f.__name__] = sql
         return f
 
     return register
@@ -197,7 +196,7 @@ _GROUPED = f"""(SELECT user_id, (CASE WHEN x > 2147483647 THEN 4294967296 - x EL
  SELECT user_id, xor(user_id, user_id >> 32) & 4294967295 AS x FROM events))))))))))"""
 
 
-@query(f"SELECT DISTINCT user_id, key_group, (key_group * 4) // 128 AS subtask FROM {_GROUPED}")
+@query(f"SELECT DISTINCT user_id, key_group, (key_group * 4) // 128 AS subtask FROM {_GROUPED}", name="key_group")
 def key_group_of_user(spark, sf_dir):
     users = events(spark, sf_dir).select("user_id").distinct()
     return exchange.placed(users, long_hash(F.col("user_id")), 4)
@@ -359,8 +358,8 @@ def _interval(spark, sf_dir, lower: int, upper: int) -> DataFrame:
     return pairs.select("user_id", "click_id", "purchase_id", (F.col("right_ms") - F.col("left_ms")).alias("delay_ms"))
 
 
-@query(_sql_interval(0, 30 * MINUTE))
-def interval_join_30m(spark, sf_dir):
+@query(_sql_interval(0, 30 * MINUTE), name="interval_join")
+def interval_join_half_hour(spark, sf_dir):
     return _interval(spark, sf_dir, 0, 30 * MINUTE)
 
 
