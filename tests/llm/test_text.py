@@ -45,6 +45,7 @@ def test_the_article_without_what_is_none():
         ("< 5 and > 3", "< 5 and > 3"),
         ("<p title='a > b'>x</p>", "x"),
         ("</div></p>stray", "stray"),
+        ('<div class="no-sidebar has-menu"><p>content</p><div class=sideBar>x</div><div id="topAds">y</div></div>', "content"),
         ("<ARTICLE><P>Upper</ARTICLE>", "Upper"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],

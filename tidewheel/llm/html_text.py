@@ -43,9 +43,11 @@ NO_ARTICLE = frozenset(
 NO_ARTICLE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu nav navbar"
     " navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies discussion share sharing social related recommended"
-    " recommendations newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar copyright skip hidden".split()
+    " recommendations adsbygoogle adsense newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar copyright skip hidden".split()
 )
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: words that turn the others round: ``no-sidebar`` and ``has-menu`` are said of a page's content.
+ABOUT_LAYOUT = frozenset("no non none without has with is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: in an article, recurring subtrees of these only are template; a recurring paragraph is part of the text.
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center header address".split())
@@ -54,7 +56,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.IGNORECASE)
-_NAMES = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
@@ -153,9 +155,13 @@ class Page:
         """Words of class and id, with ``hidden`` if the element is; and the role."""
         words, role = set(), ""
         for key, value in _ATTRIBUTE.findall(self.attributes[i]):
-            key, value = key.lower(), value.strip("\"'").lower()
+            key, raw = key.lower(), value.strip("\"'")
+            value = raw.lower()
             if key in ("class", "id"):
-                words.update(_NAMES.findall(value))
+                for name in raw.split():
+                    parts = {x.lower() for x in _NAMES.findall(name)}
+                    if not parts & ABOUT_LAYOUT:
+                        words |= parts | {name.lower()}
             elif key == "role":
                 role = value.strip()
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
