@@ -127,10 +127,10 @@ def tag_union(spark, sf_dir):
     )
 
 
-@query(f"SELECT event_id, user_id FROM {_E} WHERE event_type = 'click' UNION ALL SELECT event_id, user_id FROM {_E} WHERE user_id % 2 = 0")
+@query(f"SELECT event_id, user_id FROM {_E} WHERE event_type = 'click' UNION ALL SELECT event_id, user_id FROM {_E} WHERE value > 50")
 def union_all(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", "user_id", "event_type")
-    return transforms.union_all(e.where("event_type = 'click'"), e.where("user_id % 2 = 0")).drop("event_type")
+    e = events(spark, sf_dir)
+    return transforms.union_all(e.where("event_type = 'click'"), e.where("value > 50")).select("event_id", "user_id")
 
 
 @query(
@@ -501,10 +501,10 @@ def json_drop_malformed(spark, sf_dir):
     return jsonl.decoded(rows, "k long", keep=["event_id"])
 
 
-@query(f"SELECT event_id, user_id, event_type, t FROM {_E} WHERE event_id < 500")
+@query(f"SELECT event_id, user_id, event_type, t FROM {_E}")
 def file_replay(spark, sf_dir):
     """Rows written as JSON Lines to the shared folder and replayed from there; a malformed line would fail the query."""
-    rows = events(spark, sf_dir).where("event_id < 500").select("event_id", "user_id", "event_type", "t")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "t")
     path = jsonl.written(rows, "file-replay")
     return jsonl.replayed(spark, path, "event_id long, user_id long, event_type string, t long")
 
