@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import caches
 from .scratch import Scratch, bounded_batches
 
 CAPACITY, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 5, 4
 #: tokenizer words whose ids one Python worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 LOOSE, MERGED = 0.98, 128
 
 #: Texts of these characters only (ASCII without apostrophe and <, letters of Latin-1) are lower-cased character by
@@ -89,14 +90,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which keeps it from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return caches.only(("encoder", path), lambda: Encoder(path))
 
 
 def _pieces(path: str, capacity: int, end: int):

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import caches
 from .scratch import bounded_batches
 
 SPACE = "▁"
@@ -263,14 +264,8 @@ class Codec:
         return text.decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(model) -> Codec:
-    if model.id not in _codecs:
-        _codecs.clear()
-        _codecs[model.id] = Codec(Vocabulary.read(model.value))
-    return _codecs[model.id]
+    return caches.only(("codec", model.id), lambda: Codec(Vocabulary.read(model.value)))
 
 
 class _Shared:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from . import caches
+
 U = np.uint64
 _BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -78,6 +80,7 @@ class Texts:
     """
 
     def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False):
+        caches.free()  # no operator that works on hashes of words keeps any
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = column.cast(pa.large_string()).fill_null("")
