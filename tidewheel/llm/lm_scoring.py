@@ -244,7 +244,7 @@ def _start(counts: DataFrame) -> tuple[Model, int, int]:
     prior = np.log(np.maximum(np.concatenate([heads, tail_mass]), 1e-9))
     inner = np.where(slots > 0, np.log(np.maximum(slots, 1e-9)), -60.0)
     if not len(word):  # nothing was learned: all that is left is the tail classes' mass for unknown words
-        word, n, slot = np.array([END]), np.zeros(1, np.int64), np.full(1, -1)
+        word, n, slot = np.ones(1, U), np.zeros(1, np.int64), np.full(1, -1)
     order = np.argsort(word)
     model = Model(
         word[order], n[order], slot[order], prior.astype(np.float32), inner.astype(np.float32), tail_mass,
