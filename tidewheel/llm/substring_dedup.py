@@ -11,8 +11,9 @@ Shards are cut by content, so that work grows with the text and not with shards
    the sequences that may be repeats (all but the first document's) are streamed through it by backward search
    over its wavelet tree. Where a matching statistic reaches ``window`` and the least document among the matches
    is smaller than the streamed one, the window's words are to go.
-4. An anchor in more than ``hot`` places doesn't fit a shard. Its windows are split further, by window: grouped by
-   a 128-bit hash with map-side aggregation, and joined back where adaptive execution splits hot keys.
+4. An anchor in more than ``hot`` places doesn't fit a shard. Its windows are counted by a 128-bit hash, with map-side
+   aggregation; those that repeat, in chunks of bounded size, are joined to the anchor's texts, where adaptive
+   execution splits hot keys. The results are the same.
 
 Words are compared by 64-bit hashes.
 """
@@ -20,7 +21,7 @@ Words are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +33,38 @@ from .words import _BASE, U, Texts, mix
 
 WINDOW, ANCHOR = 50, 8
 #: places of an anchor beyond which it is split by window, and words in one index.
-HOT, SHARD_WORDS = 2000, 150_000
+HOT, SHARD_WORDS = 10_000, 400_000
+#: windows of one text around an anchor.
+LONG = 64
+#: repeated windows of a hot anchor that are held at once, and its texts that meet them in one group (at least; where
+#: there are many windows, more, so that these aren't copied more than the texts weigh).
+CHUNK, SALTED = 1 << 15, 64
 INDEX, STREAM, SPLIT = 1, 2, 4
 
 
-def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a document's words: the anchor's hash and its place."""
+def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """For each window of a document's words: the anchor's hash."""
     wide = window - anchor + 1
     if len(h) < window:
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U)
     phrase = h[: len(h) - anchor + 1].copy()
     for j in range(1, anchor):
         phrase = phrase * U(_BASE) + h[j : len(h) - anchor + 1 + j]
     phrase = mix(phrase)
-    place = np.empty(len(h) - window + 1, np.int64)
-    for at in range(0, len(place), 1 << 15):
-        view = np.lib.stride_tricks.sliding_window_view(phrase[at : at + (1 << 15) + wide - 1], wide)[: len(place) - at]
-        place[at : at + len(view)] = view.argmin(1) + at + np.arange(len(view))
-    return phrase[place], place
+    out = np.empty(len(h) - window + 1, U)
+    for at in range(0, len(out), 1 << 15):
+        view = np.lib.stride_tricks.sliding_window_view(phrase[at : at + (1 << 15) + wide - 1], wide)[: len(out) - at]
+        out[at : at + len(view)] = view.min(1)
+    return out
 
 
-def _runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window of each run with the same anchor, and the end of the run."""
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-    return first, np.append(first[1:], len(place))
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window of each run of windows with equal anchors, and the end of the run.
+
+    In a text that repeats itself, the anchor is another place of the same phrase for each window: still one run.
+    """
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(key))
 
 
 def _joined_sha(words: list[bytes]) -> str:
@@ -68,8 +77,8 @@ def _surveyed(window: int, anchor: int):
             texts = Texts(batch["text"])
             found = []
             for i in range(len(texts)):
-                key, place = anchors(texts.of(i), window, anchor)
-                found.append(key[_runs(place)[0]].view(np.int64))
+                key = anchors(texts.of(i), window, anchor)
+                found.append(key[_runs(key)[0]].view(np.int64))
             offset = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             data = texts.bytes.tobytes()
             sha = [_joined_sha(data[texts.offset[i] : texts.offset[i + 1]].split()) for i in range(len(texts))]
@@ -91,8 +100,13 @@ def _cut(window: int, anchor: int):
             docs = batch["doc_id"].to_pylist()
             rows: list[tuple] = []
             for i in range(len(texts)):
-                key, place = anchors(texts.of(i), window, anchor)
-                first, end = _runs(place)
+                key = anchors(texts.of(i), window, anchor)
+                first, end = _runs(key)
+                # long runs, as of a text that repeats itself, in pieces: streams are stepped together, and all as often as the longest
+                many = -(-(end - first) // LONG)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                first, end = np.repeat(first, many) + place * LONG, np.repeat(end, many)
+                end = np.minimum(first + LONG, end)
                 mine = plan[i].values
                 wanted = mine.field("anchor").to_numpy()
                 order = np.argsort(wanted)
@@ -164,20 +178,62 @@ def _sharded(window: int):
     return run
 
 
+def _window_keys(texts: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of a batch's rows: row, place in it, and a hash of the words in two halves."""
+    h, many = texts.hash, np.maximum(texts.counts() - window + 1, 0)
+    row = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    at = texts.cut[row] + place
+    halves = []
+    for base in (_BASE, 0xC2B2AE3D27D4EB4F):
+        up = np.cumprod(np.concatenate([[U(1)], np.full(len(h), base, U)]))
+        down = np.cumprod(np.concatenate([[U(1)], np.full(len(h), pow(base, -1, 1 << 64), U)]))
+        total = np.concatenate([[U(0)], np.cumsum(h * up[:-1])])
+        halves.append(mix((total[at + window] - total[at]) * down[at]).view(np.int64) if len(at) else np.zeros(0, np.int64))
+    return row, place, halves[0], halves[1]
+
+
 def _windows(window: int):
-    """Each window of a hot anchor's text: its hash, document and first word."""
+    """The distinct windows of hot anchors' texts in each batch, with their least and greatest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, _, high, low = _window_keys(Texts(batch["body"].cast(pa.string())), window)
+            order = np.lexsort((low, high))
+            row, high, low = row[order], high[order], low[order]
+            first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(row) else row
+            anchor, doc = (batch[c].to_numpy()[row] for c in ("anchor", "doc"))
+            least, most = (f.reduceat(doc, first) if len(first) else doc for f in (np.minimum, np.maximum))
+            columns = (anchor[first], high[first], low[first], least, most)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "w1", "w2", "least", "most"])
+
+    return run
+
+
+def _looked_up(window: int):
+    """The runs of texts' windows that a smaller document has; the anchor's repeated windows come before its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w1 = w2 = least = np.zeros(0, np.int64)
         for batch in batches:
-            texts = Texts(batch["body"].cast(pa.string()))
-            key, doc, start = [], [], []
-            for i, (d, f) in enumerate(zip(batch["doc"].to_pylist(), batch["first"].to_pylist(), strict=True)):
-                h = texts.of(i)
-                for j in range(len(h) - window + 1):
-                    key.append(blake2b(h[j : j + window].tobytes(), digest_size=16).digest())
-                    doc.append(d)
-                    start.append(f + j)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64())], ["window", "doc", "start"])
+            texts, out = Texts(batch["body"].cast(pa.string())), []
+            row, place, high, low = _window_keys(texts, window)
+            cut = np.searchsorted(row, np.arange(len(texts) + 1))
+            repeated = batch["repeated"]
+            for i, (doc, first) in enumerate(zip(batch["doc"].to_pylist(), batch["first"].to_pylist(), strict=True)):
+                if doc is None:
+                    w1, w2, least = (repeated[i].values.field(c).to_numpy() for c in ("w1", "w2", "least"))
+                    order = np.argsort(w1)
+                    w1, w2, least = w1[order], w2[order], least[order]
+                    continue
+                own = slice(cut[i], cut[i + 1])
+                at = np.minimum(np.searchsorted(w1, high[own]), len(w1) - 1)
+                begins = place[own][(w1[at] == high[own]) & (w2[at] == low[own]) & (least[at] < doc)]
+                if len(begins):
+                    breaks = np.flatnonzero(np.diff(begins) > window)
+                    for a, b in zip(begins[np.concatenate([[0], breaks + 1])], begins[np.append(breaks, len(begins) - 1)], strict=True):
+                        out.append((doc, first + int(a), first + int(b) + window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], ["doc", "start", "stop"])
 
     return run
 
@@ -235,9 +291,27 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = WINDOW, a
     sharded = cut.where(f"role < {SPLIT}").repartition("anchor").sortWithinPartitions("anchor")
     spans = sharded.mapInArrow(_sharded(window), "doc long, start long, stop long")
 
-    windows = cut.where(f"role >= {SPLIT}").mapInArrow(_windows(window), "window binary, doc long, start long")
-    least = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    late = windows.join(least, "window").where("doc > low").select("doc", "start", (F.col("start") + window).alias("stop"))
+    # the repeated windows of a hot anchor, in chunks, meet its texts, in salts: both of bounded size
+    hot_cut = cut.where(f"role >= {SPLIT}")
+    windows = hot_cut.mapInArrow(_windows(window), "anchor long, w1 long, w2 long, least long, most long")
+    least = windows.groupBy("anchor", "w1", "w2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+    least = scratch.write(least.drop("most"), "least")
+    late_texts = hot_cut.where(f"role & {STREAM} > 0")
+    parts = least.groupBy("anchor").agg(F.count("*").alias("windows"))
+    parts = parts.join(late_texts.groupBy("anchor").agg(F.count("*").alias("texts")), "anchor")
+    group = F.greatest(F.lit(SALTED), F.least(F.lit(SALTED * 64), F.col("windows") / 8))
+    parts = parts.select("anchor", F.ceil(F.col("windows") / CHUNK).alias("chunks"), F.ceil(F.col("texts") / group).alias("salts"))
+    known = least.join(parts, "anchor").groupBy("anchor", F.pmod("w1", "chunks").alias("chunk"))
+    known = known.agg(F.collect_list(F.struct("w1", "w2", "least")).alias("repeated"), F.max("salts").alias("salts"))
+    known = known.select("anchor", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "repeated")
+    asked = late_texts.join(parts, "anchor").select(
+        "anchor",
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "first", "body",
+    )
+    by = ["anchor", "chunk", "salt"]
+    both = known.unionByName(asked, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first("doc"))
+    late = both.select("doc", "first", "body", "repeated").mapInArrow(_looked_up(window), "doc long, start long, stop long")
     spans = spans.union(late).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return survey, scratch.write(spans, "spans")
 
