@@ -39,16 +39,17 @@ class WaveletTree:
             self.levels.append((level, Bits(bit)))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before ``lo`` and before ``hi``, relative to the same origin, which comes third."""
-        start = np.zeros(len(symbol), np.int64)
+    def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """Where each place, and what of a symbol's occurrences lies before it, is led by the symbol's bits.
+
+        The occurrences before a place are its result less that of place 0.
+        """
+        many, at = len(places), np.concatenate(places)
         for level, bits in self.levels:
-            one = (symbol >> level & 1).astype(bool)
-            ranks = bits.rank(np.concatenate([lo, hi, start])).astype(np.int64).reshape(3, -1)
-            lo = np.where(one, bits.zeros + ranks[0], lo - ranks[0])
-            hi = np.where(one, bits.zeros + ranks[1], hi - ranks[1])
-            start = np.where(one, bits.zeros + ranks[2], start - ranks[2])
-        return lo, hi, start
+            one = np.tile((symbol >> level & 1).astype(bool), many)
+            ones = bits.rank(at)
+            at = np.where(one, bits.zeros + ones, at - ones)
+        return np.split(at, many)
 
 
 class FMIndex:
@@ -76,9 +77,12 @@ class FMIndex:
         bwt = np.where(prev < many, 0, prev - many + 1)
         self.tree = WaveletTree(bwt, max(1, int(len(self.alphabet)).bit_length()))
         # suffixes that begin with a smaller symbol
-        self.first = many + np.concatenate([[0], np.cumsum(np.bincount(symbol.reshape(-1), minlength=len(self.alphabet)))])
+        first = many + np.concatenate([[0], np.cumsum(np.bincount(symbol.reshape(-1), minlength=len(self.alphabet)))[:-1]])
+        every_symbol = np.arange(len(self.alphabet))
+        self.shift = first - self.tree.rank(every_symbol + 1, np.zeros(len(every_symbol), np.int64))[0]
         self.lcp = self._common(sa, ranks, n)
-        self._tables: list[np.ndarray] | None = None
+        self._ahead: list[np.ndarray] = []
+        self._back: list[np.ndarray] = []
         # the least owner among all suffixes that share their first ``depth`` words
         begins = np.flatnonzero(self.lcp[:-1] < depth)
         least = np.minimum.reduceat(np.repeat(owner, size + 1)[sa], begins)
@@ -117,26 +121,30 @@ class FMIndex:
             b[same] += length
         return out
 
-    def _nearest(self, at: np.ndarray, depth: np.ndarray, step: int) -> np.ndarray:
-        """From each place, the nearest one at or before (-1) or after (1) it where the common prefix is below depth."""
-        if self._tables is None:
-            table = [self.lcp]
-            while 1 << len(table) <= len(self.lcp):
-                w, t = 1 << (len(table) - 1), table[-1]
-                table.append(np.minimum(t[: len(t) - w], t[w:]))
-            self._tables = table
-        at = at.copy()
-        for k in range(len(self._tables) - 1, -1, -1):
-            t, w = self._tables[k], 1 << k
-            begin = at - w + 1 if step < 0 else at
-            fits = (begin >= 0) & (begin < len(t))
-            jump = fits & (t[np.clip(begin, 0, len(t) - 1)] >= depth)
-            at = np.where(jump, at + step * w, at)
+    def _nearest(self, at: np.ndarray, depth: np.ndarray, ahead: bool) -> np.ndarray:
+        """From each place, the nearest one at or after it (or before) where the common prefix is below depth.
+
+        Tables hold the least common prefix of 1, 2, 4 ... places that begin (or end) at each; -1 where there are fewer.
+        """
+        if not self._ahead:
+            t = self.lcp
+            while True:
+                lack = np.full(len(self.lcp) - len(t), -1, np.int32)
+                self._ahead.append(np.concatenate([t, lack]))
+                self._back.append(np.concatenate([lack, t]))
+                w = 1 << (len(self._ahead) - 1)
+                if len(t) <= w:
+                    break
+                t = np.minimum(t[: len(t) - w], t[w:])
+        tables, depth = self._ahead if ahead else self._back, np.maximum(depth, 1)
+        for k in range(len(tables) - 1, -1, -1):
+            jump = (tables[k][at] >= depth).astype(np.int64) << k
+            at = at + jump if ahead else at - jump
         return at
 
     def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, origin = self.tree.rank(c + 1, lo, hi)
-        return self.first[c] + a - origin, self.first[c] + b - origin
+        a, b = self.tree.rank(c + 1, lo, hi)
+        return self.shift[c] + a, self.shift[c] + b
 
     def matching_statistics(self, sequences: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each place of each streamed sequence: the length of the longest match that begins there, and the least
@@ -169,8 +177,8 @@ class FMIndex:
                 todo = todo[got[todo] > 0]  # every indexed word matches by itself: the root never fails
                 parent = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]]).astype(np.int64)
                 lo[todo], hi[todo], got[todo] = (
-                    np.where(parent > 0, self._nearest(lo[todo], parent, -1), 0),
-                    np.where(parent > 0, self._nearest(hi[todo], parent, 1), self.n),
+                    np.where(parent > 0, self._nearest(lo[todo], parent, False), 0),
+                    np.where(parent > 0, self._nearest(hi[todo], parent, True), self.n),
                     parent,
                 )
             length_at[at] = got
