@@ -24,7 +24,7 @@ from .scratch import Scratch, bounded_batches
 CAPACITY, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 5, 4
 #: tokenizer words whose ids one Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 LOOSE, MERGED = 0.98, 128
 
 #: Texts of these characters only (ASCII without apostrophe and <, letters of Latin-1) are lower-cased character by
@@ -77,7 +77,7 @@ class Encoder:
         plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
         out = [b""] * len(texts)
         split = [_WORD.findall(texts[i].lower()) for i in plain]
-        parts = [[known[w] for w in s] for s in split]
+        parts = [list(map(known.__getitem__, s)) for s in split]
         if known.asked:
             asked, known.asked = list(known.asked), {}
             self._learn(asked)
