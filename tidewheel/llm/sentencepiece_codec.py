@@ -25,7 +25,7 @@ from .scratch import bounded_batches
 
 SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
-_CACHE = 400_000
+_CACHE = 700_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,6 +87,26 @@ class Vocabulary:
         return out
 
 
+class _Words(dict):
+    """Ids of words with one space before them, found when first asked for."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > _CACHE:
+            self.clear()
+        codec = self.codec
+        if codec.by_line and "\n" in word:
+            first, *rest = word.split("\n")
+            lines = [self[first] if first else codec.cached(SPACE), *map(codec.cached, rest)]
+            ids = codec.cached("\n").join(lines)
+        else:
+            ids = np.array(codec.unit(SPACE + word), "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one vocabulary."""
 
@@ -107,7 +127,10 @@ class Codec:
             self.automaton.make_automaton()
         # units can be encoded each by itself if no piece has a space after another character
         self.by_unit = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        # nor can a merge cross a line's end if no piece has one; if it is bytes, these stand by themselves
+        self.by_line = bool(vocabulary.byte) and not any("\n" in p for p in self.id)
         self.known: dict[str, bytes] = {}
+        self.words = _Words(self)
         self.seam: dict[tuple[int, int], bool] = {}
         raw = [p.replace(SPACE, " ").encode() if n else b"" for p, n in zip(vocabulary.pieces, vocabulary.normal, strict=True)]
         raw[vocabulary.unknown] = " ⁇ ".encode()
@@ -156,7 +179,7 @@ class Codec:
         """Whether merging the two pieces' joined characters leaves just the two."""
         got = self.seam.get((a, b))
         if got is None:
-            if len(self.seam) > 4 * _CACHE:
+            if len(self.seam) > _CACHE:
                 self.seam.clear()
             got = self.seam[a, b] = self._seam(self.right[a], self.left[b])
         return got
@@ -190,14 +213,13 @@ class Codec:
         size = [1] * (n + 1)
         ends = self.automaton.iter(text) if len(self.automaton) else iter(())
         if self.v.kind == _BPE:
-            reached = 0
+            seam = self.seam
             for end, (i, k) in ends:
                 end += 1
-                if size[end] == 1 and back[end] < 0 or end > reached:
-                    start = end - k
-                    if back[end] < 0 and (start == 0 or back[start] < 0 or self._may_follow(back[start], i)):
+                if back[end] < 0:  # else its piece is known: there is but one
+                    before = back[end - k] if end > k else -1  # the begin, and unknown characters, may be followed by any
+                    if before < 0 or (seam[before, i] if (before, i) in seam else self._may_follow(before, i)):
                         back[end], size[end] = i, k
-                reached = end
         else:
             best = [0.0] * (n + 1)
             reached = 0
@@ -231,29 +253,32 @@ class Codec:
             before, at = i < 0, at + k
         return out
 
+    def cached(self, unit: str) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None:
+            if len(self.known) > _CACHE:
+                self.known.clear()
+            ids = self.known[unit] = np.array(self.unit(unit), "<u4").tobytes() if unit else b""
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian 32-bit numbers."""
         if not text:
             return b""
+        if self.by_unit and self.v.prefix and SPACE not in text and "" not in (words := text.split(" ")):
+            return b"".join(list(map(self.words.__getitem__, words)))  # one space before each word
         text = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
         if not self.by_unit:
             return np.array(self.unit(text), "<u4").tobytes()
         # a unit: spaces, then all up to the next space
         parts, out, spaces = text.split(SPACE), [], 0
-        known = self.known
         for k, part in enumerate(parts):
             if k:
                 spaces += 1
             if part or k == len(parts) - 1:
                 unit = SPACE * spaces + part
                 spaces = 0
-                if unit:
-                    ids = known.get(unit)
-                    if ids is None:
-                        if len(known) > _CACHE:
-                            known.clear()
-                        ids = known[unit] = np.array(self.unit(unit), "<u4").tobytes()
-                    out.append(ids)
+                out.append(self.cached(unit))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
