@@ -80,7 +80,8 @@ class FMIndex:
         first = many + np.concatenate([[0], np.cumsum(np.bincount(symbol.reshape(-1), minlength=len(self.alphabet)))[:-1]])
         every_symbol = np.arange(len(self.alphabet))
         self.shift = first - self.tree.rank(every_symbol + 1, np.zeros(len(every_symbol), np.int64))[0]
-        self.lcp = self._common(sa, ranks, n)
+        # the tables over these are the largest part of the index; sequences are short, and so are the numbers
+        self.lcp = self._common(sa, ranks, n).astype(np.int8 if size.max() < 127 else np.int32)
         self._ahead: list[np.ndarray] = []
         self._back: list[np.ndarray] = []
         # the least owner among all suffixes that share their first ``depth`` words
@@ -129,7 +130,7 @@ class FMIndex:
         if not self._ahead:
             t = self.lcp
             while True:
-                lack = np.full(len(self.lcp) - len(t), -1, np.int32)
+                lack = np.full(len(self.lcp) - len(t), -1, self.lcp.dtype)
                 self._ahead.append(np.concatenate([t, lack]))
                 self._back.append(np.concatenate([lack, t]))
                 w = 1 << (len(self._ahead) - 1)

@@ -33,7 +33,7 @@ from .words import _BASE, U, Texts, mix
 
 WINDOW, ANCHOR = 50, 8
 #: places of an anchor beyond which it is split by window, and words in one index.
-HOT, SHARD_WORDS = 10_000, 400_000
+HOT, SHARD_WORDS = 10_000, 250_000
 #: windows of one text around an anchor.
 LONG = 64
 #: repeated windows of a hot anchor that are held at once, and its texts that meet them in one group (at least; where
