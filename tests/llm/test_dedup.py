@@ -210,6 +210,14 @@ def test_shared_lines_equal_brute_force(spark):
     assert got[900].kept_text.split() == [] and got[7].kept_chars == len(brute.EDGE[6][1])
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_a_passage_in_a_third_of_the_documents_is_removed(spark, hot):
+    passage = "all rights are reserved\nby the owner of this site"
+    rows = [(k, f"own text of document {k}\n{passage if k % 3 == 0 else 'nothing'}\nend {k}") for k in range(60)]
+    got = {x.doc_id: x.n_removed for x in line_dedup.remove_shared_lines(brute.frame(spark, rows), hot=hot).collect()}
+    assert got == {k: 2 if k % 3 == 0 and k else 0 for k in range(60)}
+
+
 # -- all ------------------------------------------------------------------------------------------------------
 
 

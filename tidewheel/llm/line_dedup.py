@@ -1,7 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line are found through line hashes: each is paired with the first document that has the
-line, so pairs grow with the lines and not with the square of a line's documents. Each pair is aligned by patience
+Documents that share a line are found through line hashes: each is paired with the first document that has the
+line, however many have it, so pairs grow with the lines and not with the square of a line's documents. Each pair is aligned by patience
 diff over line hashes, and aligned blocks are deleted from the later document. Documents of identical lines are one
 class: only its first is aligned, the others lose all that they share with it, which is everything.
 """
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .scratch import Scratch, bounded_batches
 
-#: a line in more than this share of the documents is not rare, and pairs none; a block has so many words at least.
-RARE_SHARE, BLOCK_WORDS = 0.25, 10
+#: a block has so many words at least.
+BLOCK_WORDS = 10
+#: lines in more documents than this are joined by broadcast: they are few, and none of them gathers in one task.
+HOT = 10_000
 
 
 def line_hash(line: bytes) -> int:
@@ -131,7 +133,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_removed", "n_chars", "sha", "kept_text"])
 
 
-def remove_shared_lines(docs: DataFrame, *, rare_share: float = RARE_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _owned(scratch: Scratch, places: DataFrame, key: str, hot: int) -> DataFrame:
+    """The places (doc, key, ..) whose key an earlier document has, with the first that has it (owner)."""
+    owners = places.groupBy(key).agg(F.min("doc").alias("owner"), F.count("*").alias("docs"), F.max("doc").alias("last"))
+    owners = scratch.write(owners.where("last > owner").drop("last"), f"{key}-owners")
+    many = F.broadcast(owners.where(F.col("docs") > hot).drop("docs"))
+    few = places.join(many.select(key), key, "left_anti").join(owners.where(F.col("docs") <= hot).drop("docs"), key)
+    return places.join(many, key).unionByName(few).where("doc > owner")
+
+
+def remove_shared_lines(docs: DataFrame, *, block_words: int = BLOCK_WORDS, hot: int = HOT) -> DataFrame:
     """Delete from each document (doc_id, text) the blocks of lines that an earlier one (smaller doc_id) has too.
 
     Blank lines are neither compared nor deleted; lines are equal if their words are. Blocks are judged on the input.
@@ -149,11 +160,9 @@ def remove_shared_lines(docs: DataFrame, *, rare_share: float = RARE_SHARE, bloc
     reps = scratch.write(reps, "classes")
     firsts = survey.join(reps.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "lines", "words")
     firsts = scratch.write(firsts.dropDuplicates(["doc"]), "firsts")
-    most = max(2, int(rare_share * reps.count()))
 
     places = firsts.select("doc", F.explode(F.array_distinct("lines")).alias("line"))
-    owners = places.groupBy("line").agg(F.min("doc").alias("owner"), F.count("*").alias("docs")).where(F.col("docs").between(2, most))
-    pairs = scratch.write(places.join(owners, "line").where("doc > owner").select("doc", "owner").distinct(), "pairs")
+    pairs = scratch.write(_owned(scratch, places, "line", hot).select("doc", "owner").distinct(), "pairs")
     both = pairs.join(firsts, "doc").join(firsts.select(F.col("doc").alias("owner"), F.col("lines").alias("other")), "owner")
     aligned = both.select("doc", "lines", "words", "other").mapInArrow(_aligned(block_words), "doc long, gone array<int>")
     gone = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
