@@ -218,6 +218,31 @@ def test_a_passage_in_a_third_of_the_documents_is_removed(spark, hot):
     assert got == {k: 2 if k % 3 == 0 and k else 0 for k in range(60)}
 
 
+def test_blocks_are_found_in_any_earlier_document(spark):
+    a, b = "a line of but six words", "and one of five words"
+    rows = [(1, f"{a}\none"), (2, f"{b}\ntwo"), (3, f"three\n{a}\n{b}"), (4, f"four\n{a}\n{b}\nmore")]
+    got = {x.doc_id: x.n_removed for x in line_dedup.remove_shared_lines(brute.frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_all_blocks_of_earlier_documents_are_removed(spark, hot):
+    r = random.Random(12)
+    pool = [" ".join(f"v{r.randint(0, 300)}" for _ in range(r.randint(1, 12))) for _ in range(40)]
+    rows = [(k, "\n".join(r.choices(pool, k=r.randint(1, 14)))) for k in range(90)]
+    first: dict = {}
+    want = {}
+    for d, text in rows:
+        lines, gone = text.split("\n"), set()
+        runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[i:j]) >= 10]
+        for i, j in runs:
+            if first.setdefault(tuple(lines[i:j]), d) < d:
+                gone |= set(range(i, j))
+        want[d] = len(gone)
+    got = {x.doc_id: x.n_removed for x in line_dedup.remove_shared_lines(brute.frame(spark, rows), hot=hot).collect()}
+    assert got == want and any(want.values())
+
+
 # -- all ------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 Documents that share a line are found through line hashes: each is paired with the first document that has the
 line, however many have it, so pairs grow with the lines and not with the square of a line's documents. Each pair is aligned by patience
-diff over line hashes, and aligned blocks are deleted from the later document. Documents of identical lines are one
-class: only its first is aligned, the others lose all that they share with it, which is everything.
+diff over line hashes, and aligned blocks are deleted from the later document. What one partner a line can't show is
+found by keys of blocks: runs of lines with just enough words, from each line on and up to each line. Any block that an
+earlier document has too is a union of such runs, so all are found, whichever document has them. Documents of identical
+lines are one class: only its first is aligned, the others lose all that they share with it, which is everything.
 """
 
 from __future__ import annotations
@@ -98,6 +100,36 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "lines", "words", "same", "n_chars", "sha"])
 
 
+def least_runs(words: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Runs (first, end) of just so many words: the shortest from each line on, and the shortest up to each line."""
+    total = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    at = np.arange(len(words))
+    end = np.searchsorted(total, total[:-1] + block_words)
+    first = np.searchsorted(total, total[1:] - block_words, side="right") - 1
+    runs = [(i, e) for i, e in zip(at.tolist(), end.tolist(), strict=True) if e <= len(words)]
+    return sorted({*runs, *((f, i + 1) for i, f in zip(at.tolist(), first.tolist(), strict=True) if f >= 0)})
+
+
+def _keyed(block_words: int):
+    """A row for each least run of a document: its key (of the hashes of its lines), first line and end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # a batch's lines have many times its size as rows
+                out: list[tuple[int, int, int, int]] = []
+                part = batch.slice(start, 64)
+                for doc, lines, words in zip(*(part[c].to_pylist() for c in ("doc", "lines", "words")), strict=True):
+                    raw = np.array(lines, "<i8").tobytes()
+                    for first, end in least_runs(words, block_words):
+                        key = blake2b(raw[8 * first : 8 * end], digest_size=8).digest()
+                        out.append((doc, int.from_bytes(key, "little", signed=True), first, end))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "run", "first", "end"])
+
+    return run
+
+
 def _aligned(block_words: int):
     """The lines (places among non-blank lines) that each pair deletes from its later document."""
 
@@ -165,7 +197,9 @@ def remove_shared_lines(docs: DataFrame, *, block_words: int = BLOCK_WORDS, hot:
     pairs = scratch.write(_owned(scratch, places, "line", hot).select("doc", "owner").distinct(), "pairs")
     both = pairs.join(firsts, "doc").join(firsts.select(F.col("doc").alias("owner"), F.col("lines").alias("other")), "owner")
     aligned = both.select("doc", "lines", "words", "other").mapInArrow(_aligned(block_words), "doc long, gone array<int>")
-    gone = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    runs = scratch.write(firsts.mapInArrow(_keyed(block_words), "doc long, run long, first int, end int"), "runs")
+    repeated = _owned(scratch, runs, "run", hot).select("doc", F.sequence("first", F.col("end") - 1).alias("gone"))
+    gone = aligned.unionByName(repeated).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = scratch.write(gone, "gone")
 
     # later members of a class: all lines, as one aligned block
