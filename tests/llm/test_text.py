@@ -251,6 +251,14 @@ def test_the_model_is_a_distribution():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_the_model_learns_from_two_words_together(spark):
+    # the third word follows from the first two, but from neither alone: 2 bits a text are left, and 3 (-0.903) without the pair
+    rows = [(k, f"{'ab'[k % 2]} {'xy'[k // 2 % 2]} {'pq'[(k + k // 2) % 2]}") for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    mean = lm_scoring.score(docs, F.lit(True)).agg(F.avg("score")).first()[0]
+    assert -0.85 < mean < -0.6
+
+
 # -- language --------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over hashed n-gram and
-skip features (the word before, and the second before). The most frequent words are
+skip features (the word before, the two before, the second and the third before). The most frequent words are
 slots of small head classes; all other words belong to a tail class by their last two bytes, and are distributed in
 it by their smoothed counts. Training runs in rounds over disjoint parts of the training documents, which together
 are all of them: each task makes AdaGrad steps on its documents, and the tasks' updates are averaged, row by row,
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import Scratch, bounded_batches
 from .words import U, Texts, mix
 
-HEADS, SLOTS, TAILS = 8, 32, 24
+#: a model has any number of head classes, which its priors tell: ``HEADS`` is the least, ``score`` takes ``SCORE_HEADS``.
+HEADS, SCORE_HEADS, SLOTS, TAILS = 8, 16, 32, 32
 CLASSES = HEADS + TAILS
 #: rows of the hashed weights of both factors, words whose counts are sent to every task, rounds, tokens of a step.
 ROWS, WORD_ROWS, TOP, ROUNDS, STEP, RATE = 1 << 15, 1 << 14, 1 << 17, 3, 8192, 0.25
-FEATURES = 2
+FEATURES = 4
 _BLOCK = 512
 #: hashes that stand for the end of a text and for what lies before its begin.
 END, BEGIN = U(0x454E44), U(0x424547494E)
@@ -54,12 +55,12 @@ def features(token: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Hashes of the features of each token's history (tokens x FEATURES)."""
     place = np.arange(len(token)) - np.repeat(cut[:-1], np.diff(cut))
     back = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         x = np.full(len(token), BEGIN, U)
         x[k:] = token[:-k] if k < len(token) else token[:0]
         x[place < k] = BEGIN
         back.append(x)
-    return np.stack([mix(x * salt) for x, salt in zip(back, _SALT, strict=False)], 1)
+    return np.stack([mix(back[0] * _SALT[0]), mix(back[0] * _SALT[1] + mix(back[1])), mix(back[1] * _SALT[2]), mix(back[2] * _SALT[3])], 1)
 
 
 @dataclass
@@ -95,7 +96,7 @@ class _Step:
     """The forward pass over some tokens: probabilities of both factors, and the rows of weights they use."""
 
     def __init__(self, model: Model, feature: np.ndarray, slot: np.ndarray, tail: np.ndarray):
-        self.target = np.where(slot >= 0, slot // SLOTS, HEADS + tail)
+        self.target = np.where(slot >= 0, slot // SLOTS, len(model.slot_prior) + tail)
         self.rows = (feature & U(ROWS - 1)).astype(np.int64)
         self.p = _softmax(_summed(model.weights, self.rows, model.class_prior))
         self.head = np.flatnonzero(slot >= 0)
@@ -231,14 +232,14 @@ def _start(counts: DataFrame) -> tuple[Model, int, int]:
     order = np.lexsort((word, -n))
     word, n, tail = word[order], n[order], tail[order]
     # END has a slot whatever its count; the most frequent others have the rest
-    ranked = np.concatenate([np.flatnonzero(word == END), np.flatnonzero(word != END)])[: HEADS * SLOTS]
+    ranked = np.concatenate([np.flatnonzero(word == END), np.flatnonzero(word != END)])[: SCORE_HEADS * SLOTS]
     ranked = ranked[np.argsort(-n[ranked], kind="stable")]
     slot[ranked] = np.arange(len(ranked))
     mass = {r["tail"]: r["mass"] for r in counts.groupBy("tail").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect()}
     tail_mass = np.array([mass.get(t, 0.0) for t in range(TAILS)]) + 0.5
     np.subtract.at(tail_mass, tail[ranked], n[ranked] + 0.5)
     tail_mass = np.maximum(tail_mass, 0.5)
-    slots = np.zeros((HEADS, SLOTS))
+    slots = np.zeros((SCORE_HEADS, SLOTS))
     slots.reshape(-1)[: len(ranked)] = n[ranked] + 0.5
     heads = slots.sum(1)
     prior = np.log(np.maximum(np.concatenate([heads, tail_mass]), 1e-9))
@@ -248,7 +249,7 @@ def _start(counts: DataFrame) -> tuple[Model, int, int]:
     order = np.argsort(word)
     model = Model(
         word[order], n[order], slot[order], prior.astype(np.float32), inner.astype(np.float32), tail_mass,
-        np.zeros((ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32),
+        np.zeros((ROWS, SCORE_HEADS + TAILS), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32),
     )
     return model, int(total["n"] or 0), int(total["v"])
 
