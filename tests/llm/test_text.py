@@ -91,6 +91,19 @@ def test_copies_of_an_article_are_no_template(spark):
     assert texts == {"The same article, put under many addresses of one site."}
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_copies_of_a_third_of_a_host_keep_their_text(spark, tag):
+    def page(k, what):
+        parts = "".join(f"<section><h2>Part {n} of {what}</h2><p>What part {n} of {what} says.</p></section>" for n in range(4))
+        return (k, f"http://c.example/{k}", f"<body><div class=top>Welcome here</div><{tag}>{parts}<div class=x>Read it again</div></{tag}></body>")
+
+    rows = [page(k, f"page {k}") for k in range(8)] + [page(100 + k, "the copied page") for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in got:
+        what = f"page {k}" if k < 100 else "the copied page"
+        assert got[k] == "\n\n".join(f"Part {n} of {what}\n\nWhat part {n} of {what} says." for n in range(4))
+
+
 # -- packing ---------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and deleted.
 
 Every element's subtree is hashed (tag, class, id, text and children). Spark counts, for each host, the pages on
-which a hash occurs; subtrees that recur across many of the host's pages are its template. What is left of the
+which a hash occurs, copies of a page as one; subtrees that recur across many of the host's pages are its template. What is left of the
 article after these are deleted, and after elements that are no article by their tag, class or role, is the text.
 """
 
@@ -22,7 +22,7 @@ from .scratch import Scratch, bounded_batches
 MIN_PAGES, SHARE = 4, 0.25
 #: template hashes that may be broadcast (8 bytes each); beyond it, the pages are joined by host.
 BROADCAST = 200_000
-#: (host, hash) counts that a task holds before it passes them on.
+#: (host, hash, main content) counts that a task holds before it passes them on.
 HELD = 100_000
 
 # Fixed values of HTML: elements without content, with raw text, and those that end a line of text.
@@ -200,6 +200,11 @@ class Page:
                 out.add(self.digest[i])
         return out
 
+    def main(self) -> bytes:
+        """What copies of a page have in common: the hashes of its articles; of the page, if there are none with text."""
+        roots = self.articles()
+        return b"".join(self.digest[i] for i in roots) if any(self.size[i] for i in roots) else self.digest[0]
+
     def text(self, template: frozenset[bytes] = frozenset()) -> str:
         blocks: list[str] = []
         for root in self.articles():
@@ -271,13 +276,13 @@ def host_of(url: str | None) -> str:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[tuple[str, bytes]] = Counter()
+    held: Counter[tuple[str, bytes, bytes]] = Counter()
 
     def passed() -> pa.RecordBatch:
         keys = list(held)
         out = pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in keys], pa.string()), pa.array([d for _, d in keys], pa.binary()), pa.array([held[k] for k in keys], pa.int64())],
-            ["host", "subtree", "pages"],
+            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))), pa.array([held[k] for k in keys], pa.int64())],
+            ["host", "subtree", "main", "copies"],
         )
         held.clear()
         return out
@@ -286,8 +291,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, html in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
             host = host_of(url)
             if host and html:
-                held[host, b""] += 1  # the host's pages
-                held.update((host, d) for d in Page(html).subtrees())
+                page = Page(html)
+                main = blake2b(page.main(), digest_size=8).digest()
+                held[host, b"", main] += 1  # the host's pages
+                held.update((host, d, main) for d in page.subtrees())
         if len(held) > HELD:
             yield passed()
     yield passed()
@@ -311,16 +318,21 @@ def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SHAR
 
     Returns page_id, url, text (blocks joined by an empty line; empty if there is none), n_chars (code points). Null
     or empty html gives an empty text. Pages without a host in their url have no template; neither has a host of
-    fewer than ``min_pages`` pages. Repeated rows are each extracted and counted. Other columns are ignored.
+    fewer than ``min_pages`` pages. Repeated rows are each extracted; pages of equal main content count once, but on a
+    host that has only copies of one page, where each row counts. Other columns are ignored.
     """
     spark = pages.sparkSession
     bounded_batches(spark, records=500)
     scratch = Scratch(spark, "html")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    counts = pages.select("url", "html").mapInArrow(_counted, "host string, subtree binary, pages long")
-    counts = scratch.write(counts.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")), "counts")
-    hosts = counts.where("length(subtree) = 0").select("host", F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * share)).alias("least"))
-    recurring = counts.where("length(subtree) > 0").where(F.col("pages") >= min_pages).join(hosts, "host").where("pages >= least")
+    counts = pages.select("url", "html").mapInArrow(_counted, "host string, subtree binary, main binary, copies long")
+    counts = counts.groupBy("host", "subtree", "main").agg(F.sum("copies").alias("copies"))
+    counts = counts.groupBy("host", "subtree").agg(F.count("*").alias("pages"), F.sum("copies").alias("rows"))
+    counts = scratch.write(counts, "counts")
+    hosts = counts.where("length(subtree) = 0").select("host", (F.col("pages") == 1).alias("single"), F.when(F.col("pages") == 1, F.col("rows")).otherwise(F.col("pages")).alias("all"))
+    hosts = hosts.where(F.col("all") >= min_pages).withColumn("least", F.greatest(F.lit(min_pages), F.ceil(F.col("all") * share)))
+    recurring = counts.where("length(subtree) > 0").where(F.col("rows") >= min_pages).join(hosts, "host")
+    recurring = recurring.where(F.when(F.col("single"), F.col("rows")).otherwise(F.col("pages")) >= F.col("least"))
     # at most (subtrees of a page) / share of them for a host
     template = scratch.write(recurring.groupBy("host").agg(F.collect_list("subtree").alias("template")), "template")
     total = template.agg(F.sum(F.size("template")).alias("n")).first()["n"] or 0
