@@ -272,6 +272,18 @@ def test_the_model_learns_from_two_words_together(spark):
     assert -0.85 < mean < -0.6
 
 
+def test_the_weights_grow_with_the_words(spark):
+    counts = spark.range(70_000).select(F.xxhash64("id").alias("word"), (F.col("id") % lm_scoring.TAILS).cast("int").alias("tail"), F.lit(50).cast("long").alias("n"))
+    model = lm_scoring._start(counts)[0]
+    assert (len(model.weights), len(model.word_weights)) == (1 << 17, 1 << 16)
+    assert lm_scoring.sized(0) == lm_scoring.sized(1 << 15) == (1 << 15, 1 << 14) and lm_scoring.sized((1 << 20) + 1) == (1 << 21, 1 << 20)
+    weights, squares, used = np.zeros((1 << 17, 2), np.float32), np.zeros(1 << 17, np.float32), np.zeros(1 << 17, np.int64)
+    rows = np.array([[5], [65_541], [131_071], [65_541]])
+    lm_scoring._ascend(weights, squares, used, rows, np.full((4, 2), 0.5, np.float32), np.array([0, 1, 0, 1]))
+    assert np.flatnonzero(used).tolist() == [5, 65_541, 131_071] and used[65_541] == 2
+    assert weights[5, 0] > 0 > weights[5, 1] and weights[65_541, 1] > 0
+
+
 # -- language --------------------------------------------------------------------------------------------------
 
 

@@ -24,10 +24,12 @@ from .words import U, Texts, mix
 #: a model has any number of head classes, which its priors tell: ``HEADS`` is the least, ``score`` takes ``SCORE_HEADS``.
 HEADS, SCORE_HEADS, SLOTS, TAILS = 8, 16, 32, 32
 CLASSES = HEADS + TAILS
-#: rows of the hashed weights of both factors, words whose counts are sent to every task, rounds, tokens of a step.
+#: rows of the hashed weights of both factors (at least; see ``sized``), words whose counts are sent to every task, rounds, tokens of a step.
 ROWS, WORD_ROWS, TOP, ROUNDS, STEP, RATE = 1 << 15, 1 << 14, 1 << 17, 3, 8192, 0.25
 FEATURES = 4
 _BLOCK = 512
+#: block numbers of the second factor's weights begin here.
+_SECOND = 1 << 24
 #: hashes that stand for the end of a text and for what lies before its begin.
 END, BEGIN = U(0x454E44), U(0x424547494E)
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
@@ -97,12 +99,12 @@ class _Step:
 
     def __init__(self, model: Model, feature: np.ndarray, slot: np.ndarray, tail: np.ndarray):
         self.target = np.where(slot >= 0, slot // SLOTS, len(model.slot_prior) + tail)
-        self.rows = (feature & U(ROWS - 1)).astype(np.int64)
+        self.rows = (feature & U(len(model.weights) - 1)).astype(np.int64)
         self.p = _softmax(_summed(model.weights, self.rows, model.class_prior))
         self.head = np.flatnonzero(slot >= 0)
         self.word = slot[self.head] % SLOTS
         own = self.target[self.head]
-        self.word_rows = (mix(feature[self.head] + (own.astype(U) + U(1))[:, None] * _SALT[3]) & U(WORD_ROWS - 1)).astype(np.int64)
+        self.word_rows = (mix(feature[self.head] + (own.astype(U) + U(1))[:, None] * _SALT[3]) & U(len(model.word_weights) - 1)).astype(np.int64)
         self.q = _softmax(_summed(model.word_weights, self.word_rows, model.slot_prior[own]))
 
 
@@ -123,12 +125,14 @@ def _ascend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np
     p = np.negative(p)
     p[np.arange(len(target)), target] += 1
     for k in range(rows.shape[1]):
-        own = rows[:, k].astype(np.uint16)
-        order = np.argsort(own, kind="stable")  # by radix
+        own = rows[:, k]
+        order = np.argsort(own.astype(np.uint16), kind="stable")  # by radix: the lower 16 bits, then those above
+        for bits in range(16, (len(weights) - 1).bit_length(), 16):
+            order = order[np.argsort((own[order] >> bits).astype(np.uint16), kind="stable")]
         where = own[order]
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         gradient = np.add.reduceat(p[order], first, axis=0)
-        row = where[first].astype(np.int64)
+        row = where[first]
         squares[row] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
         used[row] += np.diff(np.append(first, len(where)))
         gradient *= (RATE / np.sqrt(squares[row] + 1.0))[:, None]
@@ -141,8 +145,8 @@ def _trained(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         own = Model(m.word, m.count, m.slot, m.class_prior, m.slot_prior, m.tail_mass, m.weights.copy(), m.word_weights.copy())
-        squares = [np.zeros(ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
-        used = [np.zeros(ROWS, np.int64), np.zeros(WORD_ROWS, np.int64)]
+        squares = [np.zeros(len(w), np.float32) for w in (m.weights, m.word_weights)]
+        used = [np.zeros(len(w), np.int64) for w in (m.weights, m.word_weights)]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 token, tail, cut = tokens(Texts(batch["text"].slice(start, 256), lower=True))
@@ -154,15 +158,17 @@ def _trained(model):
                         _ascend(own.word_weights, squares[1], used[1], s.word_rows, s.q, s.word)
         for part, (new, old) in enumerate(((own.weights, m.weights), (own.word_weights, m.word_weights))):
             blocks = [b for b in range(len(new) // _BLOCK) if used[part][b * _BLOCK : (b + 1) * _BLOCK].any()]
-            cut_out = [slice(b * _BLOCK, (b + 1) * _BLOCK) for b in blocks]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part * 1000 + b for b in blocks], pa.int32()),
-                    pa.array([(new[c] - old[c]).astype("<f2").tobytes() for c in cut_out], pa.binary()),
-                    pa.array([used[part][c].astype("<i8").tobytes() for c in cut_out], pa.binary()),
-                ],
-                ["block", "change", "used"],
-            )
+            for at in range(0, len(blocks), 64):
+                some = blocks[at : at + 64]
+                cut_out = [slice(b * _BLOCK, (b + 1) * _BLOCK) for b in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part * _SECOND + b for b in some], pa.int32()),
+                        pa.array([(new[c] - old[c]).astype("<f2").tobytes() for c in cut_out], pa.binary()),
+                        pa.array([used[part][c].astype("<i8").tobytes() for c in cut_out], pa.binary()),
+                    ],
+                    ["block", "change", "used"],
+                )
 
     return run
 
@@ -219,9 +225,16 @@ def _scored(model):
     return run
 
 
+def sized(learnable: int) -> tuple[int, int]:
+    """Rows of both factors' weights: a power of two, one at least for each word seen as often as a row has weights."""
+    rows = max(ROWS, 1 << max(0, learnable - 1).bit_length())
+    return rows, rows * WORD_ROWS // ROWS
+
+
 def _start(counts: DataFrame) -> tuple[Model, int, int]:
     """The untrained model, whose factors are the smoothed counts; and the numbers of training tokens and of words."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") >= SCORE_HEADS + TAILS).alias("learnable")).first()
+    rows, word_rows = sized(int(total["learnable"] or 0))
     # the least count that no more than TOP words reach, from a coarse histogram: nothing is sorted, no task sends its own top
     coarse = F.floor(F.log("n") * 64)
     bins = sorted(((r["b"], r["k"]) for r in counts.groupBy(coarse.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -249,7 +262,7 @@ def _start(counts: DataFrame) -> tuple[Model, int, int]:
     order = np.argsort(word)
     model = Model(
         word[order], n[order], slot[order], prior.astype(np.float32), inner.astype(np.float32), tail_mass,
-        np.zeros((ROWS, SCORE_HEADS + TAILS), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32),
+        np.zeros((rows, SCORE_HEADS + TAILS), np.float32), np.zeros((word_rows, SLOTS), np.float32),
     )
     return model, int(total["n"] or 0), int(total["v"])
 
@@ -276,7 +289,7 @@ def score(docs: DataFrame, training: Column, *, rounds: int = ROUNDS) -> DataFra
         changes = part.mapInArrow(_trained(shared), "block int, change binary, used binary")
         changes = changes.repartition("block").mapInArrow(_averaged, "block int, change binary")
         for r in changes.collect():  # as many rows as the weights have blocks
-            weights, b = (model.word_weights, r["block"] - 1000) if r["block"] >= 1000 else (model.weights, r["block"])
+            weights, b = (model.word_weights, r["block"] - _SECOND) if r["block"] >= _SECOND else (model.weights, r["block"])
             weights[b * _BLOCK : (b + 1) * _BLOCK] += np.frombuffer(r["change"], "<f4").reshape(_BLOCK, -1)
         shared.unpersist()
     shared = spark.sparkContext.broadcast(model)
