@@ -38,6 +38,14 @@ def test_search_equals_brute_force(spark, shard):
     assert len(found) == len({(x.query_id, x.rank) for x in found})
 
 
+@pytest.mark.parametrize("shard", [16_384, 3])
+def test_copies_of_a_vector_take_one_place(spark, shard):
+    rows = [(0, [1, 0])] + [(1, [9, 0])] * 5 + [(k, [k % 7, 1]) for k in range(2, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    found = ball_tree.top_k(df, df.where("vec_id = 0"), k=5, shard=shard).collect()
+    assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found} == _plain(list(dict(rows).items()), lambda q: q == 0, 5)
+
+
 def test_vectors_with_nulls_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-0.001, 0.5]), (None, [1.0, 1.0])]
     df = brute.frame(spark, rows, "vec_id long, embedding array<double>")

@@ -107,12 +107,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, shard: int = SH
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; all, if there are fewer than k.
     Vectors meet only vectors of their own length; rows that are null or hold nulls must have been left out. A
-    vec_id names one row: copies of a row that share it are returned once.
+    vec_id names one row: copies of a row that share it are taken as one.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "ball-tree")
-    vectors = vectors.withColumn("dim", F.size("v"))
+    # copies would take the places of others among the k best
+    vectors = vectors.select("vec_id", "v").dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     parts = F.lit(1)
     for dim, n in sizes.items():  # one entry for each length of vector
