@@ -127,6 +127,12 @@ def test_the_pipeline_equals_a_plain_one(spark, tmp_path):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
 
 
+def test_without_labels_no_text_with_letters_goes(spark):
+    docs = _documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    want = sorted(x.doc_id for x in docs.collect() if any(c.isalpha() for c in x.text or ""))
+    assert sorted(x.doc_id for x in stages.known_language(spark, docs, "").collect()) == want
+
+
 def test_stages_take_empty_tables(spark):
     none = _documents(spark).limit(0)
     for stage in (stages.known_language, stages.one_of_equal, stages.one_of_near, stages.without_repeats, stages.packed):

@@ -187,6 +187,9 @@ def _kept(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predicted(model)
         for batch in batches:
+            if not model.value[0]:  # nothing was learned that could tell a text with letters from another
+                yield batch.filter(pa.array(_lettered(Texts(batch["text"].cast(pa.string()))))) if batch.num_rows else batch
+                continue
             found = pa.Table.from_batches(predict(iter([batch])))["lang_pred"] if batch.num_rows else pa.chunked_array([], pa.string())
             yield batch.filter(pa.array([x != "und" for x in found.to_pylist()], pa.bool_()))
 
@@ -194,7 +197,10 @@ def _kept(model):
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
-    """The documents, with all their columns, whose language ``identify`` tells; in one pass, without a shuffle."""
+    """The documents, with all their columns, whose language ``identify`` tells; in one pass, without a shuffle.
+
+    Those that go are null or have no letter; if nothing was learned, all others are kept.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")), sample))
