@@ -209,7 +209,7 @@ def test_unigram_models_take_the_best_path():
 
 def _lm_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    return docs.unionByName(spark.createDataFrame([(10_000 + k, t) for k, (_, t) in enumerate(brute.EDGE[:12])] + [(None, "no id")], "doc_id long, text string"))
+    return docs.unionByName(spark.createDataFrame([(10_000 + k, t) for k, (_, t) in enumerate(brute.EDGE)] + [(None, "no id")], "doc_id long, text string"))
 
 
 def test_base_scores_equal_brute_force_and_the_model_is_better(spark):
@@ -230,6 +230,34 @@ def test_base_scores_equal_brute_force_and_the_model_is_better(spark):
     assert sum(got[k].score for k in unseen) > sum(got[k].base_score for k in unseen)
 
 
+def test_rows_given_twice_score_as_each_would(spark):
+    docs = _lm_rows(spark).where("doc_id is not null")
+    learned = docs.withColumn("train", F.lit(True))
+    asked = docs.withColumn("train", F.lit(False))
+    unseen = spark.createDataFrame([(1, "words that no document has: qqx qqy qqy"), (1, "words that no document has: qqx qqy qqy"), (1, "qqz")], "doc_id long, text string")
+    every = learned.unionByName(asked).unionByName(asked).unionByName(unseen.withColumn("train", F.lit(False)))
+    got = lm_scoring.score(every, F.col("train")).collect()
+    assert len(got) == 3 * docs.count() + 3
+    tokens = [[*brute.words(x.text, True), "\n"] for x in docs.collect()]
+    count = Counter(w for t in tokens for w in t)
+    total, distinct = sum(count.values()), len(count)
+    want = Counter()
+    for x in every.collect():
+        t = [*brute.words(x.text, True), "\n"]
+        want[x.doc_id, len(t), sum(count[w] > 0 for w in t), round(sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in t), 3)] += 1
+    assert Counter((x.doc_id, x.n_tokens, x.n_known, round(x.base_score, 3)) for x in got) == want
+
+
+def test_sums_of_runs():
+    r = np.random.default_rng(5)
+    rows = np.sort(r.choice([1, 2, 3, 9], 300, p=[0.5, 0.02, 0.03, 0.45]))
+    rows = np.concatenate([rows, np.arange(20, 60), np.repeat(np.arange(70, 80), 3)])
+    p, order = r.random((len(rows), 5), dtype=np.float32), r.permutation(len(rows))
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    got = lm_scoring._sums(p, order, first, np.diff(np.append(first, len(rows))))
+    assert np.allclose(got, [p[order[rows == x]].sum(0) for x in np.unique(rows)], rtol=1e-4)
+
+
 def test_nothing_to_learn_from(spark):
     got = lm_scoring.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(False)).collect()
     assert sorted((x.doc_id, x.n_tokens, x.n_known, x.train_tokens) for x in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
@@ -277,10 +305,10 @@ def test_the_weights_grow_with_the_words(spark):
     model = lm_scoring._start(counts)[0]
     assert (len(model.weights), len(model.word_weights)) == (1 << 17, 1 << 16)
     assert lm_scoring.sized(0) == lm_scoring.sized(1 << 15) == (1 << 15, 1 << 14) and lm_scoring.sized((1 << 20) + 1) == (1 << 21, 1 << 20)
-    weights, squares, used = np.zeros((1 << 17, 2), np.float32), np.zeros(1 << 17, np.float32), np.zeros(1 << 17, np.int64)
+    weights, squares = np.zeros((1 << 17, 2), np.float32), np.zeros(1 << 17, np.float32)
     rows = np.array([[5], [65_541], [131_071], [65_541]])
-    lm_scoring._ascend(weights, squares, used, rows, np.full((4, 2), 0.5, np.float32), np.array([0, 1, 0, 1]))
-    assert np.flatnonzero(used).tolist() == [5, 65_541, 131_071] and used[65_541] == 2
+    lm_scoring._ascend(weights, squares, rows, np.full((4, 2), 0.5, np.float32), np.array([0, 1, 0, 1]))
+    assert np.flatnonzero(squares).tolist() == [5, 65_541, 131_071]
     assert weights[5, 0] > 0 > weights[5, 1] and weights[65_541, 1] > 0
 
 

@@ -4,9 +4,10 @@ P(word | history) = P(class | history) * P(word | class, history). Both factors
 skip features (the word before, the two before, the second and the third before). The most frequent words are
 slots of small head classes; all other words belong to a tail class by their last two bytes, and are distributed in
 it by their smoothed counts. Training runs in rounds over disjoint parts of the training documents, which together
-are all of them: each task makes AdaGrad steps on its documents, and the tasks' updates are averaged, row by row,
-by how often each task used the row. Counts of all words come from one aggregation; only the ``TOP`` most frequent
-travel to the tasks, and the counts of the others are joined.
+are all of them: a round has one task for each core (more, where a task would read over ``TASK_TOKENS``), so that what
+the tasks send doesn't grow with the partitions of the input. Each makes AdaGrad steps on its documents, and the tasks'
+updates are averaged, row by row, by how often each task used the row. Counts of all words come from one aggregation;
+only the ``TOP`` most frequent travel to the tasks, and the counts of the others are joined.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ CLASSES = HEADS + TAILS
 #: rows of the hashed weights of both factors (at least; see ``sized``), words whose counts are sent to every task, rounds, tokens of a step.
 ROWS, WORD_ROWS, TOP, ROUNDS, STEP, RATE = 1 << 15, 1 << 14, 1 << 17, 3, 8192, 0.25
 FEATURES = 4
+#: tokens that a task of a round learns from at most, on average.
+TASK_TOKENS = 1 << 29
 _BLOCK = 512
+#: rows of one weight in a step that are added turn by turn; those of longer runs are added at once.
+_LONG_RUN = 16
 #: block numbers of the second factor's weights begin here.
 _SECOND = 1 << 24
 #: hashes that stand for the end of a text and for what lies before its begin.
@@ -110,17 +115,33 @@ class _Step:
 
 def _summed(weights: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
     for k in range(FEATURES):
-        out = out + weights[rows[:, k]]
+        part = weights.take(rows[:, k], axis=0, mode="clip")
+        part += out
+        out = part
     return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(1, keepdims=True)
-    return np.maximum(x, np.float32(1e-30))
+    return np.maximum(x, np.float32(1e-30), out=x)
+
+
+def _sums(p: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order[first : first + n]`` of ``p``. Most runs are of one row, so copies of a run are added turn by turn."""
+    out = p.take(order[first], axis=0, mode="clip")
+    for k in np.flatnonzero(n > _LONG_RUN).tolist():
+        out[k] = p.take(order[first[k] : first[k] + n[k]], axis=0, mode="clip").sum(0)
+    turn, some = 1, np.flatnonzero((n > 1) & (n <= _LONG_RUN))
+    while len(some):
+        out[some] += p.take(order[first[some] + turn], axis=0, mode="clip")
+        turn += 1
+        some = some[n[some] > turn]
+    return out
 
 
-def _ascend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, p: np.ndarray, target: np.ndarray) -> None:
+def _ascend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on the rows that a batch of tokens used; the gradient is the target's indicator less p."""
     p = np.negative(p)
     p[np.arange(len(target)), target] += 1
@@ -131,12 +152,12 @@ def _ascend(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np
             order = order[np.argsort((own[order] >> bits).astype(np.uint16), kind="stable")]
         where = own[order]
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        gradient = np.add.reduceat(p[order], first, axis=0)
+        gradient = _sums(p, order, first, np.diff(np.append(first, len(where))))
         row = where[first]
         squares[row] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
-        used[row] += np.diff(np.append(first, len(where)))
         gradient *= (RATE / np.sqrt(squares[row] + 1.0))[:, None]
-        weights[row] += gradient
+        gradient += weights.take(row, axis=0, mode="clip")
+        weights[row] = gradient
 
 
 def _trained(model):
@@ -151,11 +172,16 @@ def _trained(model):
             for start in range(0, batch.num_rows, 256):
                 token, tail, cut = tokens(Texts(batch["text"].slice(start, 256), lower=True))
                 feature, slot = features(token, cut), own.places(token)[1]
+                seen: tuple[list, list] = ([], [])
                 for at in range(0, len(token), STEP):
                     s = _Step(own, feature[at : at + STEP], slot[at : at + STEP], tail[at : at + STEP])
-                    _ascend(own.weights, squares[0], used[0], s.rows, s.p, s.target)
+                    _ascend(own.weights, squares[0], s.rows, s.p, s.target)
                     if len(s.head):
-                        _ascend(own.word_weights, squares[1], used[1], s.word_rows, s.q, s.word)
+                        _ascend(own.word_weights, squares[1], s.word_rows, s.q, s.word)
+                    seen[0].append(s.rows.ravel())
+                    seen[1].append(s.word_rows.ravel())
+                for part, rows in enumerate(seen):
+                    used[part] += np.bincount(np.concatenate(rows), minlength=len(used[part])) if rows else 0
         for part, (new, old) in enumerate(((own.weights, m.weights), (own.word_weights, m.word_weights))):
             blocks = [b for b in range(len(new) // _BLOCK) if used[part][b * _BLOCK : (b + 1) * _BLOCK].any()]
             for at in range(0, len(blocks), 64):
@@ -165,7 +191,7 @@ def _trained(model):
                     [
                         pa.array([part * _SECOND + b for b in some], pa.int32()),
                         pa.array([(new[c] - old[c]).astype("<f2").tobytes() for c in cut_out], pa.binary()),
-                        pa.array([used[part][c].astype("<i8").tobytes() for c in cut_out], pa.binary()),
+                        pa.array([used[part][c].astype("<u4").tobytes() for c in cut_out], pa.binary()),
                     ],
                     ["block", "change", "used"],
                 )
@@ -178,7 +204,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for block, change, used in zip(*(batch[c].to_pylist() for c in ("block", "change", "used")), strict=True):
-            n = np.frombuffer(used, "<i8")
+            n = np.frombuffer(used, "<u4").astype(np.int64)
             x = np.frombuffer(change, "<f2").reshape(_BLOCK, -1).astype(np.float64) * n[:, None]
             a, b = total.get(block, (0.0, 0))
             total[block] = a + x, b + n
@@ -212,6 +238,7 @@ def _scored(model):
                 where = np.searchsorted(rare, cut)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part["row"],
                         part["doc_id"],
                         pa.array(np.diff(cut)),
                         pa.array(np.add.reduceat(known, cut[:-1], dtype=np.int64)),
@@ -219,7 +246,7 @@ def _scored(model):
                         pa.array(np.add.reduceat(score, cut[:-1])),
                         pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(token[rare].view(np.int64))),
                     ],
-                    ["doc_id", "n_tokens", "known", "seen", "score", "rare"],
+                    ["row", "doc_id", "n_tokens", "known", "seen", "score", "rare"],
                 )
 
     return run
@@ -272,8 +299,8 @@ def score(docs: DataFrame, training: Column, *, rounds: int = ROUNDS) -> DataFra
 
     Tokens are words, in which A-Z count as a-z, and one end for each text; a null text is an end alone. Returns one
     row per input row: doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10, smoothed
-    unigrams), score (log10, the model's). Rows that share a doc_id must share their text. Rows without doc_id
-    are left out. Other columns are ignored.
+    unigrams), score (log10, the model's). Repeated rows are each learned from and each scored. Rows without doc_id
+    are left out. Other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -283,28 +310,28 @@ def score(docs: DataFrame, training: Column, *, rounds: int = ROUNDS) -> DataFra
     counts = learned.select("text").mapInArrow(_counted, "word long, tail int, n long")
     counts = scratch.write(counts.groupBy("word").agg(F.sum("n").alias("n"), F.max("tail").alias("tail")), "counts")
     model, train_tokens, words = _start(counts)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-train_tokens // (rounds * TASK_TOKENS)))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         part = learned.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rounds)) == turn).select("text")
-        changes = part.mapInArrow(_trained(shared), "block int, change binary, used binary")
+        changes = part.coalesce(tasks).mapInArrow(_trained(shared), "block int, change binary, used binary")
         changes = changes.repartition("block").mapInArrow(_averaged, "block int, change binary")
         for r in changes.collect():  # as many rows as the weights have blocks
             weights, b = (model.word_weights, r["block"] - _SECOND) if r["block"] >= _SECOND else (model.weights, r["block"])
             weights[b * _BLOCK : (b + 1) * _BLOCK] += np.frombuffer(r["change"], "<f4").reshape(_BLOCK, -1)
         shared.unpersist()
     shared = spark.sparkContext.broadcast(model)
-    scored = rows.select("doc_id", "text").mapInArrow(
-        _scored(shared), "doc_id long, n_tokens long, known long, seen double, score double, rare array<long>"
+    # a row's number is written with its results, so that rows which share a doc_id stay apart
+    scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+        _scored(shared), "row long, doc_id long, n_tokens long, known long, seen double, score double, rare array<long>"
     )
     scored = scratch.write(scored, "scored")
-    rare = scored.select("doc_id", F.explode("rare").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("times"))
-    rare = rare.join(counts.select("word", "n"), "word", "left")
-    rare = rare.groupBy("doc_id").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_seen"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word", "left")
+    rare = rare.groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_seen"), F.count("n").alias("rare_known")
     )
     more = F.coalesce("rare_seen", F.lit(0.0))
-    return scored.join(rare, "doc_id", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
