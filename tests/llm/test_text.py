@@ -48,6 +48,13 @@ def test_the_article_without_what_is_none():
         ('<div class="no-sidebar has-menu"><p>content</p><div class=sideBar>x</div><div id="topAds">y</div></div>', "content"),
         ("<ARTICLE><P>Upper</ARTICLE>", "Upper"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ('<article><section id="discussion"><p>The main finding.</section><div class="market-share"><p>A third.</div></article>', "The main finding.\n\nA third."),
+        ('<article><h2 id="Sharing">Sharing</h2><p id="ad-2024">In 2024.<p class="header-note">A note.</article>', "Sharing\n\nIn 2024.\n\nA note."),
+        ("<p><a href=/o'brien>Link</a> some text here. I don't know</p><p>more", "Link some text here. I don't know\n\nmore"),
+        ('<p>one <a title="x>two</a> three</p>', "one two three"),
+        ('<p data-class="ad" data-id=nav>kept</p><p class=advert>gone</p><a class = "x\ty" href="a>b">c</a>', "kept\n\nc"),
+        ("<p>1 < 2 <b title=a=b>x</b>", "1 < 2 x"),
+        ('<article><p>text</p><div class="cookie-box">ok?</div><ul class="nav nav-tabs"><li>a</ul><div role=search>q</div></article>', "text"),
     ],
 )
 def test_broken_and_small_pages(html, text):
@@ -84,6 +91,36 @@ def test_extraction_equals_a_plain_count_of_subtrees(spark):
     assert got == want and all(want.values())
 
 
+def test_stray_end_tags_of_a_deep_page_take_no_longer():
+    import time
+
+    begin = time.process_time()
+    assert html_text.Page("<div>" * 40_000 + "x" + "</i></b>" * 40_000).text() == "x"
+    assert time.process_time() - begin < 20
+
+
+def test_menus_with_states_and_counts_and_doubtful_classes_go_where_they_recur(spark):
+    def page(k, host):
+        menu = "".join(f'<li class="item{" active" if n == k else ""}">Part {n} ({k * 3 + n})</li>' for n in range(5))
+        share = f'<div class="share-box"><span>Tell {k} friends</span><span>Send it to somebody {"x" * k}</span></div>'
+        discussion = f'<div class="discussion"><h2>What follows</h2><p>{"Much. " * (k + 1)}</p>{"<table><tr><td>1</table>" * (k % 2)}</div>' if k in (2, 3) else ""
+        body = f"<p>The text of page {k}, which is long enough to be what most of it is: {'word ' * 30}</p>"
+        return (k, f"http://{host}/{k}", f"<body><div><ul>{menu}</ul></div><article><h1>Page {k}</h1>{body}{share}{discussion}</article></body>")
+
+    def want(k, share):
+        lines = [f"Page {k}", f"The text of page {k}, which is long enough to be what most of it is: {'word ' * 30}".strip()]
+        lines += [f"Tell {k} friendsSend it to somebody {'x' * k}".strip()] * share + (["What follows", ("Much. " * (k + 1)).strip()] + ["1"] * (k % 2) if k in (2, 3) else [])
+        return "\n\n".join(lines)
+
+    rows = [page(k, "many.example") for k in range(12)] + [(100 + k, u, h) for k, u, h in (page(n, "few.example") for n in range(3))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want(k % 100, k >= 100) for k in got} and len(got) == 15
+    # without an article, the menu goes as a template, whatever its states and numbers
+    bare = [(k, u, h.replace("<article>", "<div>").replace("</article>", "</div>")) for k, u, h in rows]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert all(("Part" in t) == (k >= 100) for k, t in got.items()) and all(f"Page {k % 100}" in t for k, t in got.items())
+
+
 def test_copies_of_an_article_are_no_template(spark):
     body = "<article><div><p>The same article, put under many addresses of one site.</p></div><div class=x>Share this</div></article>"
     rows = [(k, f"http://s.example/{k}", body) for k in range(9)]

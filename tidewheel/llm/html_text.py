@@ -1,8 +1,11 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and deleted.
 
-Every element's subtree is hashed (tag, class, id, text and children). Spark counts, for each host, the pages on
-which a hash occurs, copies of a page as one; subtrees that recur across many of the host's pages are its template. What is left of the
-article after these are deleted, and after elements that are no article by their tag, class or role, is the text.
+Every element's subtree is hashed in three ways: its text as it is; its text with all numbers alike, as a menu's counters
+change from page to page (for containers without prose, outside of articles); and its shape, which is its tags and class words without text. What says how a page stands
+(``active``), and not what an element is, counts in none. Spark counts, for each host, the pages on which a hash occurs,
+copies of a page as one; subtrees that recur across many of the host's pages are its template. What is left of the
+article after these are deleted, and after elements that are no article by their tag, role or an unmistakable class, is
+the text. A class that may as well be said of the subject (``share``, ``discussion``) deletes only what recurs in shape.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -40,35 +44,71 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NO_ARTICLE = frozenset(
     "head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea menu dialog audio video map".split()
 )
+#: class words that are said of no article, and those that might be: the latter need a shape that recurs.
 NO_ARTICLE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu nav navbar"
-    " navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies discussion share sharing social related recommended"
-    " recommendations adsbygoogle adsense newsletter subscribe subscription signup login popup modal overlay widget pager pagination toolbar copyright skip hidden".split()
+    "ad ads adv advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs"
+    " footer masthead comments disqus respond recommendations adsbygoogle adsense newsletter signup popup modal pager pagination toolbar hidden".split()
 )
+DOUBTFUL_NAMES = frozenset(
+    "promotion banner notice notices header comment reply replies discussion share sharing social related recommended subscribe subscription login overlay"
+    " widget copyright skip".split()
+)
+#: words of an element's state on this page.
+STATES = frozenset("active current selected open closed first last odd even here visited".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: words that turn the others round: ``no-sidebar`` and ``has-menu`` are said of a page's content.
 ABOUT_LAYOUT = frozenset("no non none without has with is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: in an article, recurring subtrees of these only are template; a recurring paragraph is part of the text.
+#: these are text, whatever words their id has: they go by a class that is but one unmistakable word.
+TEXT = HEADINGS | frozenset("p pre blockquote td th dd dt tr tbody table figcaption article main body html".split())
+PROSE = HEADINGS | frozenset("p pre blockquote td th dd".split())
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center header address".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.IGNORECASE)
+# a value is quoted, or runs up to a space or >; a quote that is never closed, or stands elsewhere, is a character
+_VALUE = r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|{_VALUE})*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(rb"[0-9]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+@lru_cache(1 << 14)
+def described(attributes: str) -> tuple[frozenset[str], frozenset[str], str]:
+    """Of an element's attributes: its class words, but for states; what of it is said of no article (a class of one such
+    word also as ``.word``), with ``hidden`` if the element is; and its role."""
+    words, found, role = set(), set(), ""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, raw = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
+            for name in raw.split():
+                parts = {x.lower() for x in _NAMES.findall(name)}
+                words |= parts - STATES
+                if not parts & ABOUT_LAYOUT:
+                    found |= (parts | {name.lower()}) & (NO_ARTICLE_NAMES | DOUBTFUL_NAMES)
+                    if key == "class" and name.lower() in NO_ARTICLE_NAMES:
+                        found.add("." + name.lower())
+        elif key == "role":
+            role = raw.lower().strip()
+        elif key == "hidden" or key == "aria-hidden" and raw.lower() == "true" or key == "style" and _UNSEEN.search(raw.lower()):
+            found |= {"hidden", ".hidden"}
+    return frozenset(words), frozenset(found), role
 
 
 class Page:
     """A page as a flat list of events (texts, openings, closings), with parents and hashes of its elements."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.attributes, self.digest = ["#"], [-1], [""], [b""]
-        self.begin, self.end, self.size = [0], [0], [0]
+        self.tag, self.parent, self.attributes, self.digest, self.loose, self.shape = ["#"], [-1], [""], [b""], [b""], [b""]
+        self.begin, self.end, self.size, self.prose = [0], [0], [0], [False]
         self.events: list[int | str] = [0]
         self.holds_article = {0}
         self._parts: list[list[bytes]] = [[]]
+        self._children: list[list[int]] = [[]]
         stack, at = [0], 0
+        depth: Counter[str] = Counter()
+        self._depth = depth
         for m in iter(lambda: _TOKEN.search(html, at), None):
             if m.start() > at:
                 self._text(stack[-1], html[at : m.start()])
@@ -77,7 +117,7 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                if any(self.tag[i] == name for i in stack[1:]):
+                if depth[name]:
                     while self.tag[stack[-1]] != name:
                         self._close(stack)
                     self._close(stack)
@@ -109,26 +149,44 @@ class Page:
         self.parent.append(stack[-1])
         self.attributes.append(attributes)
         self.digest.append(b"")
+        self.loose.append(b"")
+        self.shape.append(b"")
         self.size.append(0)
+        self.prose.append(False)
         self.begin.append(len(self.events))
         self.end.append(0)
         self.events.append(i)
         self._parts.append([])
+        self._children.append([])
+        self._depth[name] += 1
         stack.append(i)
-        if name in ("article", "main") or "main" in attributes and self.names(i)[1] == "main":
+        if name in ("article", "main") or "main" in attributes and described(attributes)[2] == "main":
             self.holds_article.update(stack)
 
     def _close(self, stack: list[int]) -> None:
         i = stack.pop()
         parts, self._parts[i] = self._parts[i], []
-        self.size[i] += sum(len(p) for p in parts)
-        label = " ".join(sorted(self.names(i)[0])) if self.attributes[i].strip() else ""
-        self.digest[i] = blake2b(b"\0".join([self.tag[i].encode("utf-8", "surrogatepass"), label.encode(), *parts]), digest_size=8).digest()
+        inner, self._children[i] = self._children[i], []
+        self._depth[self.tag[i]] -= 1
+        text = sum(len(p) for p in parts)
+        self.size[i] += text
+        self.prose[i] = self.tag[i] in PROSE or any(self.prose[c] for c in inner)
+        label = " ".join(sorted(described(self.attributes[i])[0])) if self.attributes[i].strip() else ""
+        name = b"\0".join([self.tag[i].encode("utf-8", "surrogatepass"), label.encode("utf-8", "surrogatepass")])
+        own = b"\0".join([name, b" ".join(parts)])
+        number = any(48 <= c < 58 for c in own)
+        # runs of children that look alike are one: a list has the shape of a longer list
+        shapes = [self.shape[c] for k, c in enumerate(inner) if not k or self.shape[c] != self.shape[inner[k - 1]]]
+        exact = b"\1".join([own, *(self.digest[c] for c in inner)])
+        loose = b"\1".join([_DIGITS.sub(b"0", own) if number else own, *(self.loose[c] for c in inner)])
+        self.digest[i] = blake2b(exact, digest_size=8).digest()
+        self.loose[i] = self.digest[i] if loose == exact else blake2b(loose, digest_size=8).digest()
+        self.shape[i] = b"s" + blake2b(b"\1".join([name, b"t" if text else b"", *shapes]), digest_size=8).digest()
         self.events.append(-i - 1)
         self.end[i] = len(self.events)
         if stack:
-            self._parts[stack[-1]].append(self.digest[i])
-            self.size[stack[-1]] += self.size[i] - 8  # the digest itself is no text
+            self._children[stack[-1]].append(i)
+            self.size[stack[-1]] += self.size[i]
 
     def _implied(self, stack: list[int], name: str) -> None:
         """Close what the start tag ends: an open paragraph before a block, a list item before the next."""
@@ -151,26 +209,9 @@ class Page:
                 if self.tag[stack[k]] in BLOCK:
                     break
 
-    def names(self, i: int) -> tuple[set[str], str]:
-        """Words of class and id, with ``hidden`` if the element is; and the role."""
-        words, role = set(), ""
-        for key, value in _ATTRIBUTE.findall(self.attributes[i]):
-            key, raw = key.lower(), value.strip("\"'")
-            value = raw.lower()
-            if key in ("class", "id"):
-                for name in raw.split():
-                    parts = {x.lower() for x in _NAMES.findall(name)}
-                    if not parts & ABOUT_LAYOUT:
-                        words |= parts | {name.lower()}
-            elif key == "role":
-                role = value.strip()
-            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                words.add("hidden")
-        return words, role
-
     def articles(self) -> list[int]:
         """The outermost articles; else the main element; else the page."""
-        for wanted in (lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or self.names(i)[1] == "main"):
+        for wanted in (lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or described(self.attributes[i])[2] == "main"):
             found, until = [], 0
             for i in sorted(self.holds_article):
                 if self.begin[i] >= until and i and wanted(i) and not self._foreign(i):
@@ -183,21 +224,31 @@ class Page:
     def _foreign(self, i: int) -> bool:
         """An article that is none of the page's own: a reader's comment, a teaser, or part of one."""
         while i > 0:
-            if self.tag[i] in NO_ARTICLE or self.names(i)[0] & NO_ARTICLE_NAMES and self.tag[i] != "body":
+            if self.tag[i] in NO_ARTICLE or described(self.attributes[i])[1] and self.tag[i] not in ("body", "article", "main"):
                 return True
             i = self.parent[i]
         return False
 
+    def _outside(self, i: int) -> bytes:
+        """By what an element outside articles is counted: a container without prose by its text but for numbers, others
+        by all of it."""
+        return self.loose[i] if self.tag[i] in CONTAINERS and not self.prose[i] else self.digest[i]
+
     def subtrees(self) -> set[bytes]:
-        """Hashes of the elements that may be template: any with text outside articles, containers inside."""
+        """Hashes of the elements that may be template: any with text outside articles, containers inside; and shapes of
+        those whose class leaves it in doubt."""
         inside, out, until = set(self.articles()) - {0}, set(), 0
         for i in range(1, len(self.tag)):
             if i in inside:
                 until = self.end[i]
             if i in self.holds_article or not self.size[i] or self.tag[i] in ("html", "body"):
                 continue
-            if self.begin[i] >= until or self.tag[i] in CONTAINERS:
+            if self.begin[i] >= until:
+                out.add(self._outside(i))
+            elif self.tag[i] in CONTAINERS:
                 out.add(self.digest[i])
+            if self.attributes[i] and self.tag[i] not in TEXT and described(self.attributes[i])[1] & DOUBTFUL_NAMES:
+                out.add(self.shape[i])
         return out
 
     def main(self) -> bytes:
@@ -250,8 +301,7 @@ class Page:
         return "\n\n".join(blocks)
 
     def _titled(self, i: int) -> bool:
-        names, role = self.names(i)
-        return (self.tag[i] == "header" or names & NO_ARTICLE_NAMES == {"header"}) and any(
+        return (self.tag[i] == "header" or described(self.attributes[i])[1] == {"header"}) and any(
             isinstance(e, int) and e > 0 and self.tag[e] in HEADINGS for e in self.events[self.begin[i] : self.end[i]]
         )
 
@@ -261,13 +311,18 @@ class Page:
         tag = self.tag[i]
         if tag in NO_ARTICLE or tag == "header":
             return True
+        # a subtree that holds most of the text is the article, however many copies of it there are
+        part = 2 * self.size[i] <= self.size[root]
         if tag not in ("html", "body") and self.attributes[i].strip():
-            names, role = self.names(i)
-            if names & NO_ARTICLE_NAMES or role in NO_ARTICLE_ROLES:
+            _, found, role = described(self.attributes[i])
+            if role in NO_ARTICLE_ROLES or "hidden" in found:
+                return True
+            if any(x[0] == "." for x in found) if tag in TEXT else found & NO_ARTICLE_NAMES:
+                return True
+            if part and tag not in TEXT and found & DOUBTFUL_NAMES and self.shape[i] in template:
                 return True
-        # a subtree that holds most of the text is the article, however many copies of it there are
         may = tag in CONTAINERS if in_article else tag not in ("html", "body")
-        return may and self.digest[i] in template and 2 * self.size[i] <= self.size[root]
+        return may and part and (self.digest[i] if in_article else self._outside(i)) in template
 
 
 def host_of(url: str | None) -> str:
