@@ -174,29 +174,17 @@ def test_patience_alignment():
     assert line_dedup.blocks([(0, 4), (1, 5), (3, 6), (4, 7)]) == [(0, 2), (3, 2)]
 
 
-def _lines_brute(rows, share=0.25, least=10):
-    lines = {d: [x for x in (t or "").split("\n") if brute.words(x)] for d, t in rows}
-    keys = {d: [" ".join(brute.words(x)) for x in v] for d, v in lines.items()}
+def _lines_brute(rows, least=10):
+    """Of every document, the lines in runs of ``least`` words or more that an earlier document has as they are."""
+    lines = {d: [" ".join(brute.words(x)) for x in (t or "").split("\n") if brute.words(x)] for d, t in rows}
     first: dict = {}
-    for d in sorted(keys):
-        first.setdefault(tuple(keys[d]), d)
-    reps = sorted(d for k, d in first.items() if k)
-    owners: dict = {}
-    for d in reps:
-        for k in set(keys[d]):
-            owners.setdefault(k, []).append(d)
-    most, gone = max(2, int(share * len(reps))), {}
-    for d in reps:
-        gone[d] = set()
-        for o in {owners[k][0] for k in keys[d] if 2 <= len(owners[k]) <= most}:
-            if o < d:
-                for at, n in line_dedup.blocks(line_dedup.patience(keys[d], keys[o])):
-                    if sum(len(brute.words(x)) for x in lines[d][at : at + n]) >= least:
-                        gone[d] |= set(range(at, at + n))
-    for d, k in keys.items():
-        if k and first[tuple(k)] != d:
-            gone[d] = set(range(len(k))) if sum(len(brute.words(x)) for x in lines[d]) >= least else gone[first[tuple(k)]]
-    return {d: (len(lines[d]), len(gone.get(d, ()))) for d in lines}
+    gone: dict = {d: set() for d in lines}
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for j in range(i + 1, len(lines[d]) + 1):
+                if sum(x.count(" ") + 1 for x in lines[d][i:j]) >= least and first.setdefault(tuple(lines[d][i:j]), d) < d:
+                    gone[d] |= set(range(i, j))
+    return {d: (len(lines[d]), len(gone[d])) for d in lines}
 
 
 def test_shared_lines_equal_brute_force(spark):
@@ -254,6 +242,26 @@ def test_empty_tables(spark):
     assert line_dedup.remove_shared_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_rows_given_twice_come_out_twice(spark, hot):
+    passage = " ".join(f"p{k}" for k in range(30))
+    more = [(20, f"{passage}\nfirst"), (21, f"own\n{passage}\nend"), (22, f"{passage} and other words"), (30, f"one text\n{passage}"), (30, "another text of the same id")]
+    rows = [*brute.EDGE, *more]
+    for found, digest in ((substring_dedup.remove_repeats(brute.frame(spark, rows * 2), window=10, anchor=3, hot=hot), "kept_sha256"), (line_dedup.remove_shared_lines(brute.frame(spark, rows * 2), hot=hot), "kept_sha256")):
+        got = sorted((x.doc_id, x.n_removed, x[digest]) for x in found.collect())
+        assert len(got) == 2 * len(rows) and got[::2] == got[1::2]
+        gone = {(d, n) for d, n, _ in got}
+        assert {d for d, n in gone if n} >= {21, 30} and (30, 0) in gone and (20, 0) in gone
+    kept = {x.doc_id: x.kept_text for x in substring_dedup.remove_repeats(brute.frame(spark, rows * 2), window=10, anchor=3, hot=hot).collect() if x.kept_text is not None}
+    assert kept[21].split() == ["own", "end"] and kept[22] == "and other words" and kept[30] == "one text"
+
+
+def test_most_lines_go_by_alignment(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    removed, aligned = line_dedup.remove_shared_lines(docs).select(F.sum("n_removed"), F.sum("n_aligned")).first()
+    assert removed > 100 and aligned >= 0.95 * removed
+
+
 def test_repeated_rows_don_t_break_anything(spark):
     df = brute.frame(spark, brute.EDGE + [(11, "twice the row")])
     assert near_dedup.near_duplicates(df).where("doc_id = 11").select("component_id").distinct().count() == 1

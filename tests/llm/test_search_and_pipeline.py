@@ -133,6 +133,29 @@ def test_without_labels_no_text_with_letters_goes(spark):
     assert sorted(x.doc_id for x in stages.known_language(spark, docs, "").collect()) == want
 
 
+def test_languages_come_from_the_texts(spark):
+    words = {"en": "the and of with that this from which", "de": "der die und nicht auf ist ein das"}
+    rows = [(k, " ".join(random.Random(k).choices(words[x].split(), k=30)), x) for k in range(80) for x in [("en", "de")[k % 2]]]
+    rows += [(100, "der und die ist das", "en"), (101, "the and of this", None), (102, "?! 12", "en"), (103, None, "de")]
+    docs = spark.createDataFrame([(k, t, x, "s", len(t or "")) for k, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.lang for x in stages.known_language(spark, docs, "").collect()}
+    # a filter of letters would have left the languages as they came
+    assert got == {k: ("en", "de")[k % 2] for k in range(80)} | {100: "de", 101: "en"}
+
+
+def test_texts_that_share_a_doc_id_all_stay(spark):
+    rows = [(1, "one text here"), (1, "another text of this id"), (1, "another  text of this id"), (2, "one text here"), (3, "third"), (3, "third")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.one_of_equal(spark, docs, "")
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(1, "another  text of this id"), (1, "one text here"), (3, "third")]
+    assert kept.columns == docs.columns
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"a {passage}"), (2, f"b {passage} c"), (2, "what else has this id"), (2, f"{passage} d")]
+    docs = spark.createDataFrame([(k, t, "en", f"s{n}", len(t)) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = stages.without_repeats(spark, docs, "")
+    assert sorted((x.doc_id, x.text, x.source, x.n_chars) for x in left.collect()) == [(1, rows[0][1], "s0", len(rows[0][1])), (2, "b  c", "s1", 4), (2, "d", "s3", 1), (2, rows[2][1], "s2", len(rows[2][1]))]
+
+
 def test_stages_take_empty_tables(spark):
     none = _documents(spark).limit(0)
     for stage in (stages.known_language, stages.one_of_equal, stages.one_of_near, stages.without_repeats, stages.packed):

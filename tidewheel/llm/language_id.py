@@ -190,7 +190,10 @@ def _kept(model):
             if not model.value[0]:  # nothing was learned that could tell a text with letters from another
                 yield batch.filter(pa.array(_lettered(Texts(batch["text"].cast(pa.string()))))) if batch.num_rows else batch
                 continue
-            found = pa.Table.from_batches(predict(iter([batch])))["lang_pred"] if batch.num_rows else pa.chunked_array([], pa.string())
+            found = pa.Table.from_batches(predict(iter([batch])))["lang_pred"].combine_chunks() if batch.num_rows else pa.array([], pa.string())
+            at = batch.schema.get_field_index("lang")
+            if at >= 0:
+                batch = batch.set_column(at, batch.schema.field(at), found.cast(batch.schema.field(at).type))
             yield batch.filter(pa.array([x != "und" for x in found.to_pylist()], pa.bool_()))
 
     return run
@@ -199,7 +202,8 @@ def _kept(model):
 def keep_identified(docs: DataFrame, labelled: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """The documents, with all their columns, whose language ``identify`` tells; in one pass, without a shuffle.
 
-    Those that go are null or have no letter; if nothing was learned, all others are kept.
+    Their lang becomes what is predicted from the text, whether it was null, right or wrong. Those that go are null or
+    have no letter; if nothing was learned, all others are kept as they are.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

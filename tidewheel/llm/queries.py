@@ -25,7 +25,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("kept_text", "text_hash")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_shared_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup.remove_shared_lines(table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Shards are cut by content, so that work grows with the text and not with shards
    aggregation; those that repeat, in chunks of bounded size, are joined to the anchor's texts, where adaptive
    execution splits hot keys. The results are the same.
 
-Words are compared by 64-bit hashes.
+Words are compared by 64-bit hashes. Spans belong to a doc_id with the hash of its text, so that rows which share a doc_id
+are judged each by its own text, and repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -84,20 +85,20 @@ def _surveyed(window: int, anchor: int):
             sha = [_joined_sha(data[texts.offset[i] : texts.offset[i + 1]].split()) for i in range(len(texts))]
             keys = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(texts.counts().astype(np.int64)), pa.array(sha), pa.ListArray.from_arrays(pa.array(offset, pa.int32()), keys)],
-                ["doc_id", "n_words", "sha", "anchors"],
+                [batch["doc_id"], batch["h"], pa.array(texts.counts().astype(np.int64)), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(offset, pa.int32()), keys)],
+                ["doc_id", "h", "n_words", "sha", "anchors"],
             )
 
     return run
 
 
 def _cut(window: int, anchor: int):
-    """The text around each anchor that is to be looked at: (anchor, doc, first word, role, body)."""
+    """The text around each anchor that is to be looked at: (anchor, doc, h, first word, role, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, plan = Texts(batch["text"]), batch["plan"]
-            docs = batch["doc_id"].to_pylist()
+            docs, hashes = batch["doc_id"].to_pylist(), batch["h"].to_pylist()
             rows: list[tuple] = []
             for i in range(len(texts)):
                 key = anchors(texts.of(i), window, anchor)
@@ -116,27 +117,27 @@ def _cut(window: int, anchor: int):
                 for j in np.flatnonzero(wanted[at] == own).tolist():
                     w = texts.cut[i]
                     body = texts.text(w + first[j], w + end[j] + window - 1)
-                    rows.append((int(own[j]), docs[i], int(first[j]), int(role[at[j]]), body))
+                    rows.append((int(own[j]), docs[i], hashes[i], int(first[j]), int(role[at[j]]), body))
             for at in range(0, len(rows), 20_000):
                 columns = list(zip(*rows[at : at + 20_000], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "doc", "first", "role", "body"])
+                kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "doc", "h", "first", "role", "body"])
 
     return run
 
 
-def _match(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
-    """One shard: (doc, first word, end word) of each repeated run in rows of (doc, first, role, hashes)."""
+def _match(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """One shard: (doc, h, first word, end word) of each repeated run in rows of (doc, h, first, role, hashes)."""
     owner: dict[bytes, int] = {}
     sequence: dict[bytes, np.ndarray] = {}
-    streams: dict[bytes, list[tuple[int, int]]] = {}
-    for doc, first, role, h in rows:
-        key = h.tobytes()
-        sequence[key] = h
+    streams: dict[bytes, list[tuple[int, int, int]]] = {}
+    for doc, h, first, role, words in rows:
+        key = words.tobytes()
+        sequence[key] = words
         if role & INDEX:
             owner[key] = min(doc, owner.get(key, doc))
         if role & STREAM:
-            streams.setdefault(key, []).append((doc, first))
+            streams.setdefault(key, []).append((doc, h, first))
     if not owner or not streams:
         return
     index = FMIndex([sequence[k] for k in owner], np.array(list(owner.values())), window)
@@ -146,12 +147,12 @@ def _match(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
         begins = np.flatnonzero(got >= window)
         if not len(begins):
             continue
-        for doc, first in streams[k]:
+        for doc, h, first in streams[k]:
             here = begins[low[begins] < doc]
             if len(here):
                 breaks = np.flatnonzero(np.diff(here) > window)
                 for a, b in zip(here[np.concatenate([[0], breaks + 1])], here[np.append(breaks, len(here) - 1)], strict=True):
-                    yield doc, first + int(a), first + int(b) + window
+                    yield doc, h, first + int(a), first + int(b) + window
 
 
 def _sharded(window: int):
@@ -160,18 +161,18 @@ def _sharded(window: int):
         held, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            out = list(zip(*_match(rows, window), strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "start", "stop"])
+            out = list(zip(*_match(rows, window), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "h", "start", "stop"])
 
         for batch in batches:
             texts = Texts(batch["body"].cast(pa.string()) if batch.num_rows else pa.array([], pa.string()))
-            columns = (batch[c].to_pylist() for c in ("anchor", "doc", "first", "role"))
-            for i, (anchor, doc, first, role) in enumerate(zip(*columns, strict=True)):
+            columns = (batch[c].to_pylist() for c in ("anchor", "doc", "h", "first", "role"))
+            for i, (anchor, doc, h, first, role) in enumerate(zip(*columns, strict=True)):
                 if anchor != last and held >= SHARD_WORDS:
                     yield flush()
                     rows, held = [], 0
-                rows.append((doc, first, role, texts.of(i).copy()))
-                held, last = held + len(rows[-1][3]), anchor
+                rows.append((doc, h, first, role, texts.of(i).copy()))
+                held, last = held + len(rows[-1][-1]), anchor
         if rows:
             yield flush()
 
@@ -220,7 +221,7 @@ def _looked_up(window: int):
             row, place, high, low = _window_keys(texts, window)
             cut = np.searchsorted(row, np.arange(len(texts) + 1))
             repeated = batch["repeated"]
-            for i, (doc, first) in enumerate(zip(batch["doc"].to_pylist(), batch["first"].to_pylist(), strict=True)):
+            for i, (doc, h, first) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc", "h", "first")), strict=True)):
                 if doc is None:
                     w1, w2, least = (repeated[i].values.field(c).to_numpy() for c in ("w1", "w2", "least"))
                     order = np.argsort(w1)
@@ -232,8 +233,8 @@ def _looked_up(window: int):
                 if len(begins):
                     breaks = np.flatnonzero(np.diff(begins) > window)
                     for a, b in zip(begins[np.concatenate([[0], breaks + 1])], begins[np.append(breaks, len(begins) - 1)], strict=True):
-                        out.append((doc, first + int(a), first + int(b) + window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], ["doc", "start", "stop"])
+                        out.append((doc, h, first + int(a), first + int(b) + window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4], ["doc", "h", "start", "stop"])
 
     return run
 
@@ -251,12 +252,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = Texts(batch["text"])
         data = texts.bytes.tobytes()
-        removed, sha, left = [], [], []
+        total, removed, sha, left = [], [], [], []
         for i, spans in enumerate(batch["spans"].to_pylist()):
             n = int(texts.cut[i + 1] - texts.cut[i])
             gone = covered([(x["start"], x["stop"]) for x in spans], n)
             row = data[texts.offset[i] : texts.offset[i + 1] - 1]
             words = row.split()
+            total.append(n)
             removed.append(int(gone.sum()))
             sha.append(_joined_sha([w for w, g in zip(words, gone, strict=True) if not g]))
             # the text without the spans: white space outside them stays as it is
@@ -267,29 +269,36 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = texts.end[texts.cut[i] + b - 1] - base
             left.append((b"".join(pieces) + row[at:]).strip())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([x.decode() for x in left], pa.string())],
-            ["doc_id", "n_removed", "sha", "kept_text"],
+            [
+                batch["doc_id"],
+                pa.array(total, pa.int64()),
+                pa.array(removed, pa.int64()),
+                pa.array(sha, pa.string()),
+                pa.array([x.decode() if r else None for x, r in zip(left, removed, strict=True)], pa.string()),
+                batch["h"],
+            ],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash"],
         )
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """A survey of all documents (doc_id, n_words, sha, anchors) and the repeated spans (doc_id, spans).
+    """A survey of all documents (doc_id, h, n_words, sha, anchors) and the repeated spans (doc_id, h, spans).
 
-    ``docs`` has doc_id and text only. A span is (start, stop) in words, stop not included.
+    ``docs`` has doc_id, h (a hash of the text) and text only. A span is (start, stop) in words, stop not included.
     """
-    survey = scratch.write(docs.mapInArrow(_surveyed(window, anchor), "doc_id long, n_words long, sha string, anchors array<long>"), "survey")
-    places = survey.select(F.col("doc_id").alias("doc"), F.explode("anchors").alias("anchor"))
+    survey = scratch.write(docs.mapInArrow(_surveyed(window, anchor), "doc_id long, h long, n_words long, sha string, anchors array<long>"), "survey")
+    places = survey.select(F.col("doc_id").alias("doc"), "h", F.explode("anchors").alias("anchor"))
     shared = places.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = shared.where("low < high")
     role = F.expr(f"if(doc < high, {INDEX}, 0) + if(doc > low, {STREAM}, 0) + if(n > {hot}, {SPLIT}, 0)").cast("int")
-    plan = places.join(shared, "anchor").select("doc", F.struct("anchor", role.alias("role")).alias("p"))
-    plan = scratch.write(plan.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("p").alias("plan")), "plan")
+    plan = places.join(shared, "anchor").select("doc", "h", F.struct("anchor", role.alias("role")).alias("p"))
+    plan = scratch.write(plan.groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_set("p").alias("plan")), "plan")
 
-    cut = docs.join(plan, "doc_id").mapInArrow(_cut(window, anchor), "anchor long, doc long, first long, role int, body binary")
+    cut = docs.join(plan, ["doc_id", "h"]).mapInArrow(_cut(window, anchor), "anchor long, doc long, h long, first long, role int, body binary")
     # by shard already, so that each later reading needs no sort of its own
     cut = scratch.write(cut, "cut")
     sharded = cut.where(f"role < {SPLIT}").repartition("anchor").sortWithinPartitions("anchor")
-    spans = sharded.mapInArrow(_sharded(window), "doc long, start long, stop long")
+    spans = sharded.mapInArrow(_sharded(window), "doc long, h long, start long, stop long")
 
     # the repeated windows of a hot anchor, in chunks, meet its texts, in salts: both of bounded size
     hot_cut = cut.where(f"role >= {SPLIT}")
@@ -307,36 +316,41 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = WINDOW, a
     asked = late_texts.join(parts, "anchor").select(
         "anchor",
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "first", "body",
+        F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "h", "first", "body",
     )
     by = ["anchor", "chunk", "salt"]
     both = known.unionByName(asked, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first("doc"))
-    late = both.select("doc", "first", "body", "repeated").mapInArrow(_looked_up(window), "doc long, start long, stop long")
-    spans = spans.union(late).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    late = both.select("doc", "h", "first", "body", "repeated").mapInArrow(_looked_up(window), "doc long, h long, start long, stop long")
+    spans = spans.union(late).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return survey, scratch.write(spans, "spans")
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Remove each word that lies in a window of ``window`` words which also starts in a document of smaller doc_id.
 
-    Windows are judged on the input. Returns one row per document: doc_id, n_words, n_removed, kept_sha256 (of the
-    kept words, joined by one space), kept_text (null if nothing was removed; else the text without the spans).
-    Null, blank and short texts lose nothing. Rows that share a doc_id count as one document: none is a repeat of
-    the other. Rows without doc_id can't be named and are left out. Other columns are ignored.
+    Windows are judged on the input. Returns one row per row: doc_id, n_words, n_removed, kept_sha256 (of the kept
+    words, joined by one space), kept_text (null if nothing was removed; else the text without the spans), text_hash
+    (``xxhash64`` of the row's text). Null, blank and short texts lose nothing. Of rows that share a doc_id, none is a
+    repeat of another, and each is judged by its own text. Rows without doc_id can't be named and are left out. Other
+    columns are ignored. An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
     scratch, docs = Scratch(docs.sparkSession, "substring"), _own(docs)
     survey, spans = repeated_spans(docs, scratch, window=window, anchor=anchor, hot=hot)
-    after = docs.join(spans, "doc_id").mapInArrow(_kept, "doc_id long, n_removed long, sha string, kept_text string")
-    out = survey.select("doc_id", "n_words", "sha").join(after.withColumnRenamed("sha", "new"), "doc_id", "left")
-    return out.select(
+    after = docs.join(spans, ["doc_id", "h"]).mapInArrow(
+        _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_hash long"
+    )
+    rest = survey.join(spans.select("doc_id", "h"), ["doc_id", "h"], "left_anti").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("new", "sha").alias("kept_sha256"),
-        "kept_text",
+        F.lit(0).cast("long").alias("n_removed"),
+        F.col("sha").alias("kept_sha256"),
+        F.lit(None).cast("string").alias("kept_text"),
+        F.col("h").alias("text_hash"),
     )
+    return rest.unionByName(after)
