@@ -33,11 +33,39 @@ def test_search_equals_brute_force(spark, shard):
     rows = [(k, [r.randint(-3, 3) for _ in range(6)]) for k in range(300)]  # small numbers, many ties
     rows += [(1000 + k, rows[0][1]) for k in range(30)] + [(2000, [1 << 40] * 6), (2050, [-(1 << 30)] * 6), (3000, [1, 2]), (3050, [5, 5]), (3100, []), (4000, [0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    found = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), k=5, shard=shard, block=7).collect()
+    found = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), k=5, shard=shard, roots=4_000_000 if shard == 40 else 0).collect()
     assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found} == _plain(rows, lambda q: q % 50 == 0, 5)
     assert len(found) == len({(x.query_id, x.rank) for x in found})
 
 
+def test_shards_out_of_reach_are_not_searched(spark):
+    # one cluster far out on each axis: the queries' best lie in one of them
+    r = random.Random(4)
+    rows = [(k, [1000 * (j == k % 8) + r.randint(-2, 2) for j in range(8)]) for k in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for roots in (0, 4_000_000):
+        found = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), k=5, shard=100, roots=roots).collect()
+        assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found} == _plain(rows, lambda q: q % 50 == 0, 5)
+    tree = ball_tree.BallTree(np.array([v for k, v in rows if k % 8 == 1]))
+    queries = np.array([rows[0][1], rows[1][1]])
+    assert tree.bounds(queries)[0, 0] < 100_000 < tree.bounds(queries)[1, 0]
+
+
+@pytest.mark.parametrize("shard", [16_384, 2])
+def test_scores_beyond_a_long_count_as_the_nearest(spark, shard):
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.0]), (3, [1e300, -1.0]), (4, [0.5, 0.5]), (50, [-1e18, 3.0])]
+    df = ball_tree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    v = {x.vec_id: list(x.v) for x in df.collect()}
+    least, most = -(1 << 63), (1 << 63) - 1
+    assert v[3] == [most, -256] and v[0] == [256 * 10**15, 256]
+    want = {}
+    for q in (0, 50):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(v[q], w, strict=True)), least), most), i) for i, w in v.items() if i != q)
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(scored, 1)}
+    found = ball_tree.top_k(df, df.where("vec_id % 50 = 0"), k=5, shard=shard).collect()
+    assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in found} == want
+
+
 @pytest.mark.parametrize("shard", [16_384, 3])
 def test_copies_of_a_vector_take_one_place(spark, shard):
     rows = [(0, [1, 0])] + [(1, [9, 0])] * 5 + [(k, [k % 7, 1]) for k in range(2, 12)]
