@@ -1,13 +1,15 @@
 """Best-fit packing of tokenised documents into sequences, by a grouping genetic algorithm.
 
-Pieces are dealt to shards of bounded size by a hash. Several islands evolve each shard, each in its own task: a
-crossover injects whole well-filled bins of one parent into the other, removes the bins that hold duplicates, and
-puts the displaced pieces back by best fit. Between epochs each island's elite migrates to the next island. At the
-end the loosest bins of many shards are packed together once more.
+Pieces are dealt to shards of bounded size by a hash. Several islands evolve each shard, each in its own task and from
+people of its own: a crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
+duplicates, and puts the displaced pieces back by best fit; a mutation empties a few bins and fills them again, each as
+full as a subset of the pieces can. Between epochs each island's elite migrates to the next island. At the end the loosest
+bins of many shards are packed together once more.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left, insort
@@ -26,6 +28,8 @@ SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 5, 4
 #: tokenizer words whose ids one Python worker remembers.
 REMEMBERED = 600_000
 LOOSE, MERGED = 0.98, 128
+#: mutations of a child; bins that one empties besides the emptiest, and pieces that it moves at most.
+MUTATIONS, EMPTIED, MOVED = 3, 7, 64
 
 #: Texts of these characters only (ASCII without apostrophe and <, letters of Latin-1) are lower-cased character by
 #: character, and cut into words as the tokenizer cuts them by the second pattern. Others are encoded by it whole.
@@ -44,15 +48,40 @@ class _Known(dict):
         self.asked[word] = None
 
 
+# How a tokenizer is described that lower-cases and cuts words as ``_WORD`` does.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def remembers_words(description: str) -> bool:
+    """Whether a tokenizer (its file's text) gives a plain text the ids of its words, whose last tokens show that they end."""
+    t = json.loads(description)
+    cuts = (t.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (t.get("normalizer") or {}).get("normalizers") == _NORMAL
+        and len(cuts) == 2
+        and cuts[0].get("type") == "Split"
+        and cuts[0].get("pattern") == {"Regex": _SPLIT}
+        and (cuts[0].get("behavior"), cuts[0].get("invert")) == ("Removed", True)
+        and (cuts[1].get("type"), cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and t["model"].get("end_of_word_suffix") == "</w>"
+        and not t["model"].get("dropout")
+        and not any(_PLAIN.fullmatch(x["content"]) for x in t.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian bytes, for tokenizers that lower-case, cut words as ``_WORD`` does, and whose
-    last token of a word shows that it ends one."""
+    """Ids of whole texts, as little-endian bytes. Of tokenizers that ``remembers_words`` accepts, words are remembered;
+    others encode each text whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, description: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), _Known()
+        if description is None:
+            with open(path, encoding="utf-8") as f:
+                description = f.read()
+        self.tokenizer, self.known, self.by_word = Tokenizer.from_str(description), _Known(), remembers_words(description)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -73,6 +102,8 @@ class Encoder:
                 self.known.update(zip(group, self._whole(group), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
         known = self.known
         plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
         out = [b""] * len(texts)
@@ -90,14 +121,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, which keeps it from task to task."""
-    return caches.only(("encoder", path), lambda: Encoder(path))
-
-
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(description, key: int, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = caches.only(("encoder", key), lambda: Encoder(description=description.value))  # a worker keeps it from task to task
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -179,24 +205,70 @@ def crossover(length: np.ndarray, into: np.ndarray, donor: np.ndarray, capacity:
     return _dense(child)
 
 
-def evolve(length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS) -> np.ndarray:
-    """The best packing after some generations of a small population that starts from the elites."""
+def fullest(length: list[int], room: int) -> list[int]:
+    """Places of a subset of ``length`` whose sum is the greatest that fits ``room``."""
+    mask = (1 << room + 1) - 1
+    reach = [1]  # bit x: some of the first pieces add up to x
+    for n in length:
+        reach.append((reach[-1] | reach[-1] << n) & mask)
+        if reach[-1] >> room:
+            break
+    left, out = reach[-1].bit_length() - 1, []
+    for k in range(len(reach) - 2, -1, -1):
+        if not reach[k] >> left & 1:
+            out.append(k)
+            left -= length[k]
+    return out
+
+
+def mutated(length: np.ndarray, bin_of: np.ndarray, capacity: int, random: np.random.Generator) -> np.ndarray:
+    """A packing whose emptiest bin and a few others are filled anew, if that makes it fitter; else itself."""
+    fill = np.bincount(bin_of, length)
+    bins = np.unique(np.append(random.integers(len(fill), size=EMPTIED), fill.argmin()))
+    moved = np.flatnonzero(np.isin(bin_of, bins))
+    if len(moved) > MOVED:
+        return bin_of
+    left = moved[np.argsort(-length[moved], kind="stable")].tolist()
+    sums, child, number = [], bin_of.copy(), len(fill)
+    while left:
+        first, *rest = left
+        random.shuffle(rest)
+        taken = fullest(length[rest].tolist(), int(capacity - length[first]))
+        own = [first, *(rest[k] for k in taken)]
+        child[own] = number
+        number += 1
+        sums.append(int(length[own].sum()))
+        left = sorted(set(left) - set(own), key=lambda i: -length[i])
+    before = (-len(bins), float((fill[bins] ** 2).sum()))
+    return _dense(child) if (-len(sums), float((np.array(sums, float) ** 2).sum())) > before else bin_of
+
+
+def evolve(
+    length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, plain: bool = True
+) -> np.ndarray:
+    """The best packing after some generations (one at least) of a small population that starts from the elites.
+
+    ``plain``: best fit decreasing is among the first people; others come from blurred lengths.
+    """
     random = np.random.default_rng(seed)
-    people = list(elites) or [decreasing(length, capacity)]
+    people = list(elites) or [decreasing(length, capacity)] * plain
     bound = -(-int(length.sum()) // capacity)
     while len(people) < POPULATION:
-        people.append(decreasing(length, capacity, 0.02 * len(people), random))
+        people.append(decreasing(length, capacity, 0.05 * (len(people) + 1), random))
     score = [fitness(length, p, capacity) for p in people]
     for _ in range(generations):
         order = np.argsort(score)[::-1]
-        if -score[order[0]] <= bound:  # no packing has fewer bins
-            break
         a, b = order[0], order[1 + random.integers(len(people) - 1)]
         for into, donor in ((a, b), (b, a)):
             child = crossover(length, people[into], people[donor], capacity, random)
+            for _ in range(MUTATIONS):
+                child = mutated(length, child, capacity, random)
             value, worst = fitness(length, child, capacity), int(np.argmin(score))
-            if value > score[worst]:
+            # of equals the child, so that a population goes on moving
+            if value >= score[worst]:
                 people[worst], score[worst] = child, value
+        if -max(score) <= bound:  # no packing has fewer bins
+            break
     return people[int(np.argmax(score))]
 
 
@@ -209,7 +281,7 @@ def _epoch(capacity: int, turn: int):
         shard, island = (x.as_py() for x in key)
         length = _ordered(items)["length"].to_numpy()
         came = [np.frombuffer(x, "<i4").astype(np.int64) for x in elites["bins"].to_pylist()]
-        best = evolve(length, came, capacity, hash((shard, island, turn)) % (1 << 32)) if len(length) else np.zeros(0, np.int64)
+        best = evolve(length, came, capacity, hash((shard, island, turn)) % (1 << 32), plain=island == 0) if len(length) else np.zeros(0, np.int64)
         return pa.table(
             {
                 "shard": pa.array([shard], pa.int64()),
@@ -262,17 +334,20 @@ _OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, shard l
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: int = END, shard: int = SHARD) -> DataFrame:
-    """Pack all documents (doc_id, text) into sequences of at most ``capacity`` tokens.
+    """Pack all documents (doc_id, text) into sequences of at most ``capacity`` tokens. ``tokenizer``: a file on the driver.
 
     A document is its ids, then ``end``; a null or empty text is ``end`` alone. Only a document longer than a sequence
     is cut. Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are
-    packed each. Rows without doc_id are left out. Other columns are ignored.
+    packed each. Rows without doc_id are left out. Other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    pieces = rows.mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with open(tokenizer, encoding="utf-8") as f:
+        description = f.read()
+    shared = spark.sparkContext.broadcast(description)
+    pieces = rows.mapInArrow(_pieces(shared, crc32(description.encode()), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = scratch.write(pieces, "pieces")
     shards = max(1, -(-pieces.count() // shard))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
