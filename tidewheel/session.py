@@ -21,9 +21,12 @@ def configured(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where none is set (one machine, tests), a new local folder."""
+    """``spark.checkpoint.dir``; where none is set, a new local folder if all runs on one machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
