@@ -82,6 +82,27 @@ def test_links_between_members_unlike_the_first_are_found(spark):
     assert _near(brute.frame(spark, rows), shingle=1) == want
 
 
+def test_strays_and_groups_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "TEXTS", 2)
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(40):  # members of a bucket that are near to some others, but seldom to the first
+        t = [w if r.random() > 0.1 else f"x{r.randint(0, 5)}" for w in base]
+        rows.append((k, " ".join(t)))
+    want = {d: (n, c, d == c) for d, (n, c) in brute.components(rows, 1).items()}
+    assert 1 < len({c for _, c, _ in want.values()}) < 40
+    assert _near(brute.frame(spark, rows), shingle=1) == want
+
+
+def test_no_link_is_lost_at_a_thousand_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    want = {d: (n, c, d == c) for d, (n, c) in brute.components(rows, 2).items()}
+    assert _near(docs, shingle=2) == want and sum(not kept for _, _, kept in want.values()) > 50
+
+
 def test_superminhash_estimates_and_stops_early():
     r = np.random.default_rng(1)
     errors = []

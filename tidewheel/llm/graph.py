@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .scratch import Scratch
 
+ROUNDS = 200
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -54,7 +55,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
     now = scratch.write(now, f"{name}-0")
     mark = None
-    for turn in range(1, 200):
+    for turn in range(1, ROUNDS + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_smallest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
@@ -69,6 +70,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == tuple(seen):
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     # now every edge leads from a node to its label
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -315,8 +315,8 @@ def score(docs: DataFrame, training: Column, *, rounds: int = ROUNDS) -> DataFra
         shared = spark.sparkContext.broadcast(model)
         part = learned.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(rounds)) == turn).select("text")
         changes = part.coalesce(tasks).mapInArrow(_trained(shared), "block int, change binary, used binary")
-        changes = changes.repartition("block").mapInArrow(_averaged, "block int, change binary")
-        for r in changes.collect():  # as many rows as the weights have blocks
+        changes = scratch.write(changes.repartition("block").mapInArrow(_averaged, "block int, change binary"), f"round-{turn}")
+        for r in changes.toLocalIterator():  # as many rows as the weights have blocks
             weights, b = (model.word_weights, r["block"] - _SECOND) if r["block"] >= _SECOND else (model.weights, r["block"])
             weights[b * _BLOCK : (b + 1) * _BLOCK] += np.frombuffer(r["change"], "<f4").reshape(_BLOCK, -1)
         shared.unpersist()

@@ -8,7 +8,8 @@
    pairs), and each pair is confirmed on full sets. Links are grouped by union-find.
 4. A star can miss the link of two members that are both unlike the smallest. So buckets that still hold more
    than one group are taken up again: signatures name the members that may be similar to a member of another
-   group, and those are compared, on full sets, with the whole of that group in blocks. Nothing is capped.
+   group, and those are compared, on full sets, with the whole of that group. Both sides are cut into blocks, so that
+   a task holds two blocks, however many members there are. Nothing is capped.
 
 Two documents of similarity s share no bucket with probability (1 - s**rows)**bands: 5e-6 at 0.8 with 40 bands
 of 6; a candidate of step 4 is left out if its estimate is more than 0.15 below the threshold.
@@ -21,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
 from .scratch import Scratch, bounded_batches
@@ -29,7 +30,8 @@ from .words import U, Texts, mix, shingles
 
 BANDS, ROWS = 40, 6
 SLACK = 0.15
-BLOCK = 2048
+#: signatures of one side that a task compares, and texts.
+BLOCK, TEXTS = 2048, 512
 #: ids that may be broadcast to filter the texts (8 bytes each); beyond it, a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 
@@ -124,19 +126,21 @@ def _confirmed(shingle: int, percent: int, lower: bool):
 
 
 def _candidates(slots: int, percent: int):
-    """Of one bucket's block: which strays may be similar to a member of which other group."""
+    """Of a bucket's block of members and one of its strays: which strays may be similar to a member of which other group."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, slots)
         n, label = table["n"].to_numpy(), table["label"].to_numpy()
-        doc, stray = table["doc"].to_numpy(), np.flatnonzero(table["stray"].to_numpy(zero_copy_only=False))
+        doc, guest = table["doc"].to_numpy(), table["guest"].to_numpy(zero_copy_only=False)
+        home, stray = np.flatnonzero(~guest), np.flatnonzero(guest)
+        own_sig, own_n, own_label = sig[home], n[home], label[home]
         docs, labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in stray:
-            size_ok = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            other = np.flatnonzero(size_ok & (label != label[i]))
-            near = other[(sig[other] == sig[i]).mean(1) >= percent / 100 - SLACK]
-            to = np.unique(label[near])
+            size_ok = 100 * np.minimum(own_n, n[i]) >= percent * np.maximum(own_n, n[i])
+            other = np.flatnonzero(size_ok & (own_label != label[i]))
+            near = other[(own_sig[other] == sig[i]).mean(1) >= percent / 100 - SLACK]
+            to = np.unique(own_label[near])
             docs.append(np.full(len(to), doc[i]))
             labels.append(to)
         return pa.table({"doc": np.concatenate(docs), "label": np.concatenate(labels)})
@@ -145,11 +149,11 @@ def _candidates(slots: int, percent: int):
 
 
 def _compared(shingle: int, percent: int, lower: bool):
-    """Of one block of a group and the strays sent to it: the links, by exact counts of common shingles."""
+    """Of a block of a group and one of the strays sent to it: the links, by exact counts of common shingles."""
 
     def run(table: pa.Table) -> pa.Table:
         texts = Texts(table["text"], lower=lower)
-        doc, stray = table["doc"].to_numpy(), table["stray"].to_numpy(zero_copy_only=False)
+        doc, stray = table["doc"].to_numpy(), table["guest"].to_numpy(zero_copy_only=False)
         sets = [shingles(texts.of(i), shingle) for i in range(len(texts))]
         home = [i for i in np.flatnonzero(~stray) if len(sets[i])]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -172,6 +176,23 @@ def _compared(shingle: int, percent: int, lower: bool):
     return run
 
 
+def _many(n: Column, block: int) -> Column:
+    return F.ceil(n / block).cast("int")
+
+
+def _met(home: DataFrame, strays: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of both sides such that each block (of ``blocks``) of ``home`` meets each part (of ``guests``) of the strays."""
+
+    def own(many: str) -> Column:
+        return F.pmod(F.xxhash64("doc"), F.col(many)).cast("int")
+
+    def each(many: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+
+    home = home.select(key, own("blocks").alias("block"), each("guests").alias("part"), *columns, F.lit(False).alias("guest"))
+    return home.unionByName(strays.select(key, each("blocks").alias("block"), own("guests").alias("part"), *columns, F.lit(True).alias("guest")))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -225,24 +246,19 @@ def near_duplicates(
     labelled = buckets.where("size > 2").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
     labelled = scratch.write(labelled.select("bucket", "doc", F.coalesce("label", "doc").alias("label")), "labelled")
     counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", "n").alias("main"))
-    mixed = mixed.where("labels > 1").select("bucket", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = labelled.join(mixed, "bucket").withColumn("stray", F.expr("label <> main"))
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    block = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    rest = rest.select("bucket", F.explode(block).alias("block"), "doc", "label", "stray").join(reps, "doc")
-    sent = rest.groupBy("bucket", "block").applyInArrow(_candidates(slots, percent), "doc long, label long").distinct()
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("main"))
+    mixed = mixed.where("labels > 1").select("bucket", "main", _many(F.col("size"), BLOCK).alias("blocks"), _many(F.col("size") - F.col("most"), BLOCK).alias("guests"))
+    rest = labelled.join(mixed, "bucket")
+    met = _met(rest, rest.where("label <> main"), "bucket", "doc", "label").join(reps, "doc")
+    sent = met.groupBy("bucket", "block", "part").applyInArrow(_candidates(slots, percent), "doc long, label long").distinct()
     sent = scratch.write(sent, "sent")
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    asked = sent.select("label").distinct().join(sizes, "label", "left")
-    asked = asked.select("label", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    at_home = asked.join(groups, "label", "left").select("label", F.coalesce("node", "label").alias("doc"), "blocks")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    at_home = at_home.select("label", own.alias("block"), "doc", F.lit(False).alias("stray"))
-    guests = sent.join(asked, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.lit(True).alias("stray"))
-    both = at_home.unionByName(guests).join(texts, "doc").select("label", "block", "doc", "stray", "text")
-    more = both.groupBy("label", "block").applyInArrow(_compared(shingle, percent, lower), "a long, b long")
+    asked = sent.groupBy("label").agg(F.count("*").alias("strays")).join(sizes, "label", "left")
+    asked = asked.select("label", _many(F.coalesce("size", F.lit(1)), TEXTS).alias("blocks"), _many(F.col("strays"), TEXTS).alias("guests"))
+    at_home = asked.join(groups, "label", "left").select("label", F.coalesce("node", "label").alias("doc"), "blocks", "guests")
+    both = _met(at_home, sent.join(asked, "label"), "label", "doc").join(texts, "doc").select("label", "block", "part", "doc", "guest", "text")
+    more = both.groupBy("label", "block", "part").applyInArrow(_compared(shingle, percent, lower), "a long, b long")
     more = scratch.write(more, "more")
 
     found = groups if more.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "final")
