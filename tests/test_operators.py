@@ -126,3 +126,20 @@ def test_histogram_and_lag(spark):
     got = {r.task: (r["count"], r["mean"], r["max"]) for r in metrics.histogram(df, "task", F.col("v")).collect()}
     assert got == {"a": (2, 1, 2), "b": (0, 0, 0)}
     assert spark.range(1).select(metrics.lag(F.lit(3), F.lit(5)), metrics.lag(F.lit(8), F.lit(5))).first()[:] == (0, 3)
+
+
+def test_running_extremes_over_sparse_orders(spark):
+    r = random.Random(2)
+    order = sorted({r.randint(-(2**62), 2**62) for _ in range(150)} | set(range(40)) | {2**63 - 1, -(2**63)})
+    rows = [(o, r.randint(0, 1000)) for o in order]
+    df = spark.createDataFrame(rows, "o long, v long").repartition(3)
+    for least in (False, True):
+        for before in (False, True):
+            got = {x.o: x.m for x in event_time.running(df, "o", F.col("v"), "m", before=before, least=least, block=7).collect()}
+            seen, want = None, {}
+            for o, v in reversed(rows) if least else rows:
+                if before:
+                    want[o] = seen
+                seen = v if seen is None else (min if least else max)(seen, v)
+                want.setdefault(o, seen)
+            assert got == want

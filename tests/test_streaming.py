@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import uuid
 
 import pytest
@@ -185,3 +186,38 @@ def test_dropped_rows_still_move_the_clock(spark, tmp_path):
     feed = Feed(spark, tmp_path, build, SCHEMA)
     rows = feed.run(click("beta", 18000, "first"), click("bot-x", 4_000_000, "clock"), click("bot-x", 4_000_001, "clock"))
     assert closed(rows) == [("beta", 18000, 18000, 918000, 0, 1, "first")]
+
+
+def test_salted_sessions_over_batches_and_late_rows(spark, tmp_path):
+    from tidewheel.streaming import sessions as streaming_sessions
+
+    minute, gap = 60_000, 15 * 60_000
+    r = random.Random(3)
+    hot = sorted(r.sample(range(0, 3000 * minute, 1000), 400))
+    batches = [[("hot", t, f"term {t % 3}") for t in hot if (3000 * minute) * k // 4 <= t < (3000 * minute) * (k + 1) // 4] for k in range(4)]
+    batches[1] += [("other", 1000 * minute, None), ("other", 1010 * minute, " "), (None, 1011 * minute, "x")]
+    batches[3] += [("hot", 5, "too late")]
+    batches.append([("clock", 9000 * minute, "x")])
+    folder = tmp_path / "in"
+    found = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "member string, t long, term string").coalesce(1).write.mode("append").parquet(str(folder))
+        raw = spark.readStream.schema("member string, t long, term string").parquet(str(folder))
+        stream = streaming_sessions.event_timed(raw, "t", "5 seconds").where(F.when(F.col("ts").isNotNull(), F.col("member").isNotNull()).otherwise(False))
+        stream = streaming_sessions.salted(stream, gap, F.pmod(F.xxhash64("t"), F.lit(8)))
+        writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check"))
+        writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    want: list[list] = []
+    for member in ("hot", "other"):
+        held: list[list] = []
+        for _, t, term in sorted((x for b in batches for x in b if x[0] == member and x[1] != 5), key=lambda x: x[1]):
+            if held and t <= held[-1][2] + gap:
+                held[-1][2], held[-1][3] = t, held[-1][3] + 1
+                held[-1][4] |= {term} if term and term.strip() else set()
+            else:
+                held.append([member, t, t, 1, {term} if term and term.strip() else set()])
+        want += held
+    got = sorted((x.member, x.session_start, x.last_event, x.click_count, tuple(x.search_terms)) for x in found if x.kind == "session")
+    assert got == sorted((m, a, b, n, tuple(sorted(s))) for m, a, b, n, s in want)
+    assert [(x.member, x.session_start) for x in found if x.kind == "late"] == [("hot", 5)]

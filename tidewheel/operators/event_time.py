@@ -1,14 +1,29 @@
 """Watermarks, lateness and timers as batch queries over rows in a known order of arrival.
 
-Running extremes over all rows are found in two steps, so that no window gathers the table in one partition: inside
-blocks of the order, and over one row for each block.
+Running extremes over all rows are found in levels, so that no window gathers the table in one partition: inside blocks
+of the order, over the blocks of each larger block, and so on. No window's partition has over ``BLOCK`` rows (twice as many around
+0), however the order's values lie; that goes for the last one too, which is over all blocks of 2**48 values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 10_000
+BLOCK = 1 << 16
+
+
+def _carried(tops: DataFrame, span: int, block: int, least: bool) -> DataFrame:
+    """(_block, _carried): the best of all blocks before each. ``span``: how many values of the order a block has."""
+    best, sign, both = (F.min, F.desc, F.least) if least else (F.max, F.asc, F.greatest)
+    last = span > (1 << 63) // block  # so few blocks are possible that one partition takes them
+    tops = tops.withColumn("_up", F.lit(0).cast("long") if last else F.expr(f"_block div {block}"))
+    inside = Window.partitionBy("_up").orderBy(sign("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    own = tops.select("_up", "_block", best("_top").over(inside).alias("_carried"))
+    if last:
+        return own.drop("_up")
+    above = _carried(tops.groupBy(F.col("_up").alias("_block")).agg(best("_top").alias("_top")), span * block, block, least)
+    above = above.select(F.col("_block").alias("_up"), F.col("_carried").alias("_above"))
+    return own.join(above, "_up").select("_block", both("_carried", "_above").alias("_carried"))
 
 
 def running(df: DataFrame, order: str, value: Column, name: str, *, before: bool = False, least: bool = False, block: int = BLOCK) -> DataFrame:
@@ -16,14 +31,10 @@ def running(df: DataFrame, order: str, value: Column, name: str, *, before: bool
 
     Order must tell rows apart. With ``least``, rows are taken from the last back.
     """
-    best, sign = (F.min, F.desc) if least else (F.max, F.asc)
-    cut = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block))
+    best, sign, both = (F.min, F.desc, F.least) if least else (F.max, F.asc, F.greatest)
+    cut = df.withColumn("_value", value).withColumn("_block", F.expr(f"cast(`{order}` as long) div {block}"))
     inside = Window.partitionBy("_block").orderBy(sign(order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    blocks = cut.groupBy("_block").agg(best("_value").alias("_top"))
-    # a row for each block: the table's rows over BLOCK
-    over = Window.orderBy(sign("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", best("_top").over(over).alias("_carried"))
-    both = F.least if least else F.greatest
+    blocks = _carried(cut.groupBy("_block").agg(best("_value").alias("_top")), block, max(block, BLOCK), least)
     out = cut.withColumn("_own", best("_value").over(inside)).join(blocks, "_block")
     return out.withColumn(name, both("_own", "_carried")).drop("_value", "_block", "_own", "_carried")
 
