@@ -96,6 +96,18 @@ def described(attributes: str) -> tuple[frozenset[str], frozenset[str], str]:
     return frozenset(words), frozenset(found), role
 
 
+@lru_cache(1 << 14)
+def named(tag: str, attributes: str) -> bytes:
+    """An element's tag and class words."""
+    label = " ".join(sorted(described(attributes)[0])) if attributes else ""
+    return b"\0".join([tag.encode("utf-8", "surrogatepass"), label.encode("utf-8", "surrogatepass")])
+
+
+@lru_cache(1 << 14)
+def shaped(name: bytes, has_text: bool, shapes: tuple[bytes, ...]) -> bytes:
+    return b"s" + blake2b(b"\1".join([name, b"t" if has_text else b"", *shapes]), digest_size=8).digest()
+
+
 class Page:
     """A page as a flat list of events (texts, openings, closings), with parents and hashes of its elements."""
 
@@ -171,17 +183,16 @@ class Page:
         text = sum(len(p) for p in parts)
         self.size[i] += text
         self.prose[i] = self.tag[i] in PROSE or any(self.prose[c] for c in inner)
-        label = " ".join(sorted(described(self.attributes[i])[0])) if self.attributes[i].strip() else ""
-        name = b"\0".join([self.tag[i].encode("utf-8", "surrogatepass"), label.encode("utf-8", "surrogatepass")])
+        name = named(self.tag[i], self.attributes[i] if self.attributes[i].strip() else "")
         own = b"\0".join([name, b" ".join(parts)])
-        number = any(48 <= c < 58 for c in own)
         # runs of children that look alike are one: a list has the shape of a longer list
-        shapes = [self.shape[c] for k, c in enumerate(inner) if not k or self.shape[c] != self.shape[inner[k - 1]]]
-        exact = b"\1".join([own, *(self.digest[c] for c in inner)])
-        loose = b"\1".join([_DIGITS.sub(b"0", own) if number else own, *(self.loose[c] for c in inner)])
-        self.digest[i] = blake2b(exact, digest_size=8).digest()
-        self.loose[i] = self.digest[i] if loose == exact else blake2b(loose, digest_size=8).digest()
-        self.shape[i] = b"s" + blake2b(b"\1".join([name, b"t" if text else b"", *shapes]), digest_size=8).digest()
+        shapes = tuple([self.shape[c] for k, c in enumerate(inner) if not k or self.shape[c] != self.shape[inner[k - 1]]])
+        self.shape[i] = shaped(name, text > 0, shapes)
+        self.digest[i] = digest = blake2b(b"\1".join([own, *[self.digest[c] for c in inner]]), digest_size=8).digest()
+        if all(self.loose[c] is self.digest[c] for c in inner) and not _DIGITS.search(own):
+            self.loose[i] = digest
+        else:
+            self.loose[i] = blake2b(b"\1".join([_DIGITS.sub(b"0", own), *[self.loose[c] for c in inner]]), digest_size=8).digest()
         self.events.append(-i - 1)
         self.end[i] = len(self.events)
         if stack:
