@@ -132,7 +132,7 @@ def _row(side, key, own, t):
 
 def test_the_exact_join_never_drops_late_input(spark, tmp_path):
     def build(df):
-        return joins.exact(sessions.event_timed(df, "t", "0 seconds").select("ts", "key", "side", "id", "t", "seq"), 0, 30)
+        return joins.exact(sessions.event_timed(df, "t", "0 seconds").select("ts", "key", "side", "id", "t"), 0, 30)
 
     feed = Feed(spark, tmp_path, build, "side string, key string, id string, t long")
     # the left row comes when the clock is far beyond it, but its partner is still held
@@ -142,6 +142,22 @@ def test_the_exact_join_never_drops_late_input(spark, tmp_path):
     assert len(rows) == 2  # evicted partners match no more
 
 
+@pytest.mark.parametrize(("lower", "upper"), [(0, 30_000), (-40_000, 10_000), (5, 5)])
+def test_the_exact_join_over_buckets_equals_all_pairs(spark, tmp_path, lower, upper):
+    def build(df):
+        return joins.exact(sessions.event_timed(df, "t", "1 day").select("ts", "key", "side", "id", "t"), lower, upper)
+
+    r = random.Random(lower)
+    rows = [_row(r.choice("LR"), r.choice("aab"), f"x{n}", r.randrange(0, 200_000, 5)) for n in range(240)]
+    rows += [_row("L", "a", "twin", 50_000), _row("L", "a", "twin", 50_000), _row("R", "a", "edge", 50_000 + upper), _row("R", "a", "edge", 50_000 + lower)]
+    rows += [_row("R", "a", "beyond", 50_001 + upper), _row("L", "b", None, 60_000), _row("R", "b", None, 60_000 + upper)]
+    r.shuffle(rows)
+    found = Feed(spark, tmp_path, build, "side string, key string, id string, t long", step=90).run(*rows)
+    left, right = ([x for x in rows if x["side"] == s] for s in "LR")
+    want = [(a["key"], a["id"], b["id"], a["t"], b["t"]) for a in left for b in right if a["key"] == b["key"] and lower <= b["t"] - a["t"] <= upper]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_the_clickstream_job_fills_both_tables_and_replays_nothing_twice(spark, tmp_path):
     base = 1_757_836_800_000
     clicks = [
