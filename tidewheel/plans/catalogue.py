@@ -7,6 +7,7 @@ Times are epoch milliseconds, ties are broken by event_id, and lists are returne
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -509,5 +510,14 @@ def file_replay(spark, sf_dir):
     return jsonl.replayed(spark, path, "event_id long, user_id long, event_type string, t long")
 
 
+@query(f"SELECT event_id, user_id, event_type, t FROM {_E}")
+def file_replay_slices(spark, sf_dir):
+    """The same replay by four subtasks, each with the lines whose hash is its own: together they are all rows, once."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "t")
+    path = jsonl.written(rows, "file-replay-slices")
+    parts = [jsonl.replayed_slice(spark, path, "event_id long, user_id long, event_type string, t long", n, 4) for n in range(4)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 # imported for what they register
 from . import streams  # noqa: E402, F401
