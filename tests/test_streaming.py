@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import sessions as batch_sessions, transforms
 from tidewheel.sources import replay
-from tidewheel.streaming import joins, sessions
+from tidewheel.streaming import joins, keyed, sessions
 from tidewheel.streaming.clickstream import Clickstream
 
 GAP = 900_000
@@ -158,6 +158,50 @@ def test_the_exact_join_over_buckets_equals_all_pairs(spark, tmp_path, lower, up
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
 
 
+def test_an_operator_with_state_timers_and_the_watermark(spark, tmp_path):
+    class Watcher(keyed.Operator):
+        def open(self, context):
+            self.last, self.seen = context.value("last", "long"), context.values("seen", "long")
+            assert context.value("last", "LONG") is self.last
+            for other in (lambda: context.values("last", "long"), lambda: context.value("last", "string"), lambda: context.value("_due", "long")):
+                try:
+                    other()
+                except keyed.StateError:
+                    continue
+                raise AssertionError("taken")
+
+        def on_row(self, key, row, context, out):
+            if row.term == "clear":
+                self.last.clear()
+                self.seen.clear()
+            else:
+                self.last.update(int(row.t))
+                self.seen.add(int(row.t))
+                context.at(int(row.t) + 100)
+            out.append(("row", key, self.last.get() or -1, str(self.seen.get())))
+
+        def on_timer(self, time, key, context, out):
+            self.seen.update([t for t in self.seen.get() if t + 100 > time])
+            out.append(("timer", key, time, str(self.seen.get())))
+
+        def on_watermark(self, clock, key, context, out):
+            out.append(("clock", key, clock, ""))
+            return clock < 1000
+
+    def build(df):
+        timed = sessions.event_timed(df, "t", "0 seconds")
+        return keyed.processed(timed, "member", ["t", "term"], Watcher(), "kind string, member string, t long, seen string")
+
+    feed = Feed(spark, tmp_path, build, SCHEMA)
+    rows = feed.run(click("a", 10), click("a", 50), click("z", 120), click("b", 130, "clear"), click("z", 2000))
+    mine = [(r.kind, r.t, r.seen) for r in rows if r.member == "a"]
+    assert [x for x in mine if x[0] == "row"] == [("row", 10, "[10]"), ("row", 50, "[10, 50]")]
+    assert [x for x in mine if x[0] == "timer"] == [("timer", 110, "[50]"), ("timer", 150, "[]")]
+    clocks = [x[1] for x in mine if x[0] == "clock"]
+    assert clocks == sorted(set(clocks)) and clocks[-1] >= 1000 and len([c for c in clocks if c >= 1000]) == 1
+    assert [(r.t, r.seen) for r in rows if r.member == "b" and r.kind == "row"] == [(-1, "[]")]
+
+
 def test_the_clickstream_job_fills_both_tables_and_replays_nothing_twice(spark, tmp_path):
     base = 1_757_836_800_000
     clicks = [
