@@ -78,4 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op8_exact_top_k": ball_tree.SQL}
+    return {
+        "op2_fm_substring_dedup": substring_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_exact_top_k": ball_tree.SQL, "op10_minhash_near_dedup": near_dedup.SQL,
+    }

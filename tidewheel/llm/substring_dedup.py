@@ -354,3 +354,16 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
         F.col("h").alias("text_hash"),
     )
     return rest.unionByName(after)
+
+
+SQL = r"""
+WITH listed AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+  windows AS MATERIALIZED (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM listed)),
+  firsts AS MATERIALIZED (SELECT seq, min(doc_id) AS first FROM windows GROUP BY seq),
+  covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (seq) WHERE first < doc_id),
+  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM listed),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM listed LEFT JOIN kept USING (doc_id)
+"""
