@@ -152,6 +152,18 @@ def test_repeats_equal_brute_force(spark, hot):
             assert got[doc].kept_text is None
 
 
+def test_a_hot_anchor_is_indexed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART_WORDS", 40)
+    monkeypatch.setattr(substring_dedup, "SALTED", 3)
+    r = random.Random(4)
+    passages = [" ".join(r.choices("abcdefgh", k=r.randint(0, 9))) + " the hot phrase " + " ".join(r.choices("abcdefgh", k=9)) for _ in range(25)]
+    rows = [(k, f"own {k} {r.choice(passages)} end {r.randint(0, 9)}") for k in r.sample(range(1000), 150)]
+    want = brute.repeats(rows, 8)
+    got = _repeats(brute.frame(spark, rows), window=8, anchor=3, hot=2)
+    assert {d: (x.n_removed, x.kept_sha256) for d, x in got.items()} == {d: (sum(gone), brute.digest(w, gone)) for d, (w, gone) in want.items()}
+    assert sum(x.n_removed for x in got.values()) > 1000
+
+
 def test_windows_longer_than_the_texts(spark):
     rows = near_copies(8, 20)
     assert all(r.n_removed == 0 for r in _repeats(brute.frame(spark, [(i, " ".join(t.split()[:49])) for i, t in rows])).values())

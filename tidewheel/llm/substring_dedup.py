@@ -12,8 +12,9 @@ Shards are cut by content, so that work grows with the text and not with shards
    over its wavelet tree. Where a matching statistic reaches ``window`` and the least document among the matches
    is smaller than the streamed one, the window's words are to go.
 4. An anchor in more than ``hot`` places doesn't fit a shard. Its windows are counted by a 128-bit hash, with map-side
-   aggregation; those that repeat, in chunks of bounded size, are joined to the anchor's texts, where adaptive
-   execution splits hot keys. The results are the same.
+   aggregation, to learn which repeat and which document has them first; from those documents' texts the runs of such
+   windows are cut, so that each repeated window is there once. These runs are indexed in parts of bounded size, and
+   the anchor's texts are streamed through each part in groups of bounded size: shards as above, but many an anchor.
 
 Words are compared by 64-bit hashes. Spans belong to a doc_id with the hash of its text, so that rows which share a doc_id
 are judged each by its own text, and repeated rows stay repeated.
@@ -35,11 +36,13 @@ from .words import _BASE, U, Texts, mix
 WINDOW, ANCHOR = 50, 8
 #: places of an anchor beyond which it is split by window, and words in one index.
 HOT, SHARD_WORDS = 10_000, 250_000
+#: words of the repeated windows of a hot anchor that one index holds.
+PART_WORDS = 1 << 17
 #: windows of one text around an anchor.
 LONG = 64
-#: repeated windows of a hot anchor that are held at once, and its texts that meet them in one group (at least; where
-#: there are many windows, more, so that these aren't copied more than the texts weigh).
-CHUNK, SALTED = 1 << 15, 64
+#: texts of a hot anchor that meet a part of its repeated windows, at least, and words of the part for each more of them:
+#: an index isn't built for fewer words than it has itself.
+SALTED, WORDS_A_TEXT = 1024, 64
 INDEX, STREAM, SPLIT = 1, 2, 4
 
 
@@ -166,13 +169,13 @@ def _sharded(window: int):
 
         for batch in batches:
             texts = Texts(batch["body"].cast(pa.string()) if batch.num_rows else pa.array([], pa.string()))
-            columns = (batch[c].to_pylist() for c in ("anchor", "doc", "h", "first", "role"))
-            for i, (anchor, doc, h, first, role) in enumerate(zip(*columns, strict=True)):
-                if anchor != last and held >= SHARD_WORDS:
+            columns = (batch[c].to_pylist() for c in ("part", "doc", "h", "first", "role"))
+            for i, (part, doc, h, first, role) in enumerate(zip(*columns, strict=True)):
+                if part != last and held >= SHARD_WORDS:
                     yield flush()
                     rows, held = [], 0
                 rows.append((doc, h, first, role, texts.of(i).copy()))
-                held, last = held + len(rows[-1][-1]), anchor
+                held, last = held + len(rows[-1][-1]), part
         if rows:
             yield flush()
 
@@ -211,30 +214,25 @@ def _windows(window: int):
     return run
 
 
-def _looked_up(window: int):
-    """The runs of texts' windows that a smaller document has; the anchor's repeated windows come before its texts."""
+def _first_runs(window: int):
+    """The runs of windows that are repeated and that no smaller document has, cut from a hot anchor's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w1 = w2 = least = np.zeros(0, np.int64)
         for batch in batches:
-            texts, out = Texts(batch["body"].cast(pa.string())), []
-            row, place, high, low = _window_keys(texts, window)
+            texts, out, wanted = Texts(batch["body"].cast(pa.string())), [], batch["wanted"]
+            row, place, high, _ = _window_keys(texts, window)
             cut = np.searchsorted(row, np.arange(len(texts) + 1))
-            repeated = batch["repeated"]
-            for i, (doc, h, first) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc", "h", "first")), strict=True)):
-                if doc is None:
-                    w1, w2, least = (repeated[i].values.field(c).to_numpy() for c in ("w1", "w2", "least"))
-                    order = np.argsort(w1)
-                    w1, w2, least = w1[order], w2[order], least[order]
-                    continue
+            for i, (anchor, doc) in enumerate(zip(batch["anchor"].to_pylist(), batch["doc"].to_pylist(), strict=True)):
                 own = slice(cut[i], cut[i + 1])
-                at = np.minimum(np.searchsorted(w1, high[own]), len(w1) - 1)
-                begins = place[own][(w1[at] == high[own]) & (w2[at] == low[own]) & (least[at] < doc)]
-                if len(begins):
-                    breaks = np.flatnonzero(np.diff(begins) > window)
-                    for a, b in zip(begins[np.concatenate([[0], breaks + 1])], begins[np.append(breaks, len(begins) - 1)], strict=True):
-                        out.append((doc, h, first + int(a), first + int(b) + window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4], ["doc", "h", "start", "stop"])
+                # one half is enough here: whatever a document really has may be indexed as its own
+                begins = place[own][np.isin(high[own], wanted[i].values.to_numpy())]
+                breaks = np.flatnonzero(np.diff(begins) > 1)
+                for a, b in zip(begins[np.concatenate([[0], breaks + 1])], begins[np.append(breaks, len(begins) - 1)], strict=True) if len(begins) else ():
+                    n = int(b - a) + window
+                    out.append((anchor, doc, n, texts.text(texts.cut[i] + a, texts.cut[i] + a + n)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (*[pa.int64()] * 3, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "doc", "words", "body"])
 
     return run
 
@@ -281,6 +279,30 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _split(cut: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """Hot anchors' shards: parts of their repeated windows, each with a group of the texts."""
+    hot = cut.where(f"role >= {SPLIT}")
+    windows = hot.mapInArrow(_windows(window), "anchor long, w1 long, w2 long, least long, most long")
+    repeated = windows.groupBy("anchor", "w1", "w2").agg(F.min("least").alias("doc"), F.max("most").alias("most")).where("doc < most")
+    wanted = repeated.groupBy("anchor", "doc").agg(F.collect_list("w1").alias("wanted"))
+    runs = hot.where(f"role & {INDEX} > 0").select("anchor", "doc", "body").join(wanted, ["anchor", "doc"])
+    runs = scratch.write(runs.mapInArrow(_first_runs(window), "anchor long, doc long, words long, body binary"), "runs")
+    texts = hot.where(f"role & {STREAM} > 0")
+    parts = runs.groupBy("anchor").agg(F.sum("words").alias("words")).join(texts.groupBy("anchor").agg(F.count("*").alias("texts")), "anchor")
+    group = F.greatest(F.lit(SALTED), F.least(F.col("words"), F.lit(PART_WORDS)) / WORDS_A_TEXT)
+    parts = parts.select("anchor", F.ceil(F.col("words") / PART_WORDS).alias("chunks"), F.ceil(F.col("texts") / group).alias("salts"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    known = runs.join(parts, "anchor").withColumn("chunk", F.pmod(F.xxhash64("body"), "chunks")).withColumn("salt", every("salts"))
+    asked = texts.join(parts, "anchor").withColumn("salt", F.pmod(F.xxhash64("doc", "first"), "salts")).withColumn("chunk", every("chunks"))
+    known = known.withColumns({"h": F.lit(0).cast("long"), "first": F.lit(0).cast("long"), "role": F.lit(INDEX)})
+    asked = asked.withColumn("role", F.lit(STREAM))
+    columns = [F.xxhash64("anchor", "chunk", "salt").alias("part"), "doc", "h", "first", "role", "body"]
+    return known.select(*columns).unionByName(asked.select(*columns))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """A survey of all documents (doc_id, h, n_words, sha, anchors) and the repeated spans (doc_id, h, spans).
 
@@ -295,33 +317,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, window: int = WINDOW, a
     plan = scratch.write(plan.groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_set("p").alias("plan")), "plan")
 
     cut = docs.join(plan, ["doc_id", "h"]).mapInArrow(_cut(window, anchor), "anchor long, doc long, h long, first long, role int, body binary")
-    # by shard already, so that each later reading needs no sort of its own
     cut = scratch.write(cut, "cut")
-    sharded = cut.where(f"role < {SPLIT}").repartition("anchor").sortWithinPartitions("anchor")
-    spans = sharded.mapInArrow(_sharded(window), "doc long, h long, start long, stop long")
-
-    # the repeated windows of a hot anchor, in chunks, meet its texts, in salts: both of bounded size
-    hot_cut = cut.where(f"role >= {SPLIT}")
-    windows = hot_cut.mapInArrow(_windows(window), "anchor long, w1 long, w2 long, least long, most long")
-    least = windows.groupBy("anchor", "w1", "w2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
-    least = scratch.write(least.drop("most"), "least")
-    late_texts = hot_cut.where(f"role & {STREAM} > 0")
-    parts = least.groupBy("anchor").agg(F.count("*").alias("windows"))
-    parts = parts.join(late_texts.groupBy("anchor").agg(F.count("*").alias("texts")), "anchor")
-    group = F.greatest(F.lit(SALTED), F.least(F.lit(SALTED * 64), F.col("windows") / 8))
-    parts = parts.select("anchor", F.ceil(F.col("windows") / CHUNK).alias("chunks"), F.ceil(F.col("texts") / group).alias("salts"))
-    known = least.join(parts, "anchor").groupBy("anchor", F.pmod("w1", "chunks").alias("chunk"))
-    known = known.agg(F.collect_list(F.struct("w1", "w2", "least")).alias("repeated"), F.max("salts").alias("salts"))
-    known = known.select("anchor", "chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "repeated")
-    asked = late_texts.join(parts, "anchor").select(
-        "anchor",
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "h", "first", "body",
-    )
-    by = ["anchor", "chunk", "salt"]
-    both = known.unionByName(asked, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first("doc"))
-    late = both.select("doc", "h", "first", "body", "repeated").mapInArrow(_looked_up(window), "doc long, h long, start long, stop long")
-    spans = spans.union(late).groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    shards = cut.where(f"role < {SPLIT}").withColumnRenamed("anchor", "part").unionByName(_split(cut, scratch, window))
+    spans = shards.repartition("part").sortWithinPartitions("part").mapInArrow(_sharded(window), "doc long, h long, start long, stop long")
+    spans = spans.groupBy(F.col("doc").alias("doc_id"), "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return survey, scratch.write(spans, "spans")
 
 
