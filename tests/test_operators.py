@@ -60,6 +60,18 @@ def test_interval_join_equals_brute_force(spark):
     assert _pairs(spark, left, right, -37, 61) == sorted((a, b) for a in left for b in right if -37 <= b - a <= 61)
 
 
+def test_times_at_the_ends_of_long(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    times = [low, low + 3, low + 5000, -1, 0, 7, high - 5000, high - 3, high]
+    left = spark.createDataFrame([("k", t) for t in times], "k string, left_ms long")
+    right = spark.createDataFrame([("k", t) for t in times], "k string, right_ms long")
+    for lower, upper in ((0, 10), (-5, 5), (-4990, -1), (0, 0), (2, 6000)):
+        got = {(r.left_ms, r.right_ms) for r in interval_join.interval_join(left, right, ["k"], lower, upper).collect()}
+        assert got == {(a, b) for a in times for b in times if lower <= b - a <= upper}
+    kept = interval_join.retained(spark.createDataFrame([("L", high), ("R", low), ("R", 3)], "side string, t long"), 5, -4, 9)
+    assert {(r.side, r.t) for r in kept.collect()} == {("L", high), ("R", 3)}
+
+
 def test_bounds_are_checked():
     with pytest.raises(ValueError, match="above"):
         interval_join.check_bounds(31, 30)

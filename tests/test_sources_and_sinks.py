@@ -1,6 +1,8 @@
 import json
+import pickle
 import threading
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidewheel.schemas import BROWSE_SESSIONS, CLICK
 from tidewheel.sources import jsonl, kafka, replay
-from tidewheel.streaming import sinks, supervisor
+from tidewheel.streaming import catalog, sinks, supervisor
 
 TWO = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("note", T.StringType(), True)])
 
@@ -164,6 +166,31 @@ def test_the_contract_names_the_column(spark, tmp_path):
         sinks.conformed(spark.range(1).drop("id"), BROWSE_SESSIONS)
 
 
+def test_a_table_of_a_catalog(spark, tmp_path):
+    name = f"t{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, note STRING) USING parquet LOCATION 'file://{tmp_path}/{name}'")
+    try:
+        table = catalog.CatalogTable("spark_catalog", "", f"default.{name}")
+        df = spark.createDataFrame([(1, "one"), (2, "two")], "n long, word string")
+        fields = {"note": F.upper("word"), "id": "n"}
+        assert table.append(df, 0, fields) and not table.append(df, 0, fields) and not table.append(df.where("n > 5"), 1, fields)
+        assert table.append(df.where("n = 2"), 2, fields) and not table.append(df, 1, fields)
+        assert sorted(map(tuple, table.load(spark).collect())) == [(1, "ONE"), (2, "TWO"), (2, "TWO")]
+        with pytest.raises(sinks.ContractError, match="unknown column n"):
+            table.append(df, 3)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_catalog_is_named_by_strings():
+    table = catalog.CatalogTable("lake", "http://host:8181", "library.sessions", {"warehouse": "w"})
+    assert pickle.loads(pickle.dumps(table)) == table
+    assert {k.removeprefix("spark.sql.catalog.lake"): v for k, v in table.settings().items()}.items() >= {".type": "rest", ".uri": "http://host:8181", ".warehouse": "w"}.items()
+    for blank in (("", "u", "t"), ("c", " ", "t"), ("c", "u", "")):
+        with pytest.raises(ValueError, match="blank"):
+            catalog.CatalogTable(*blank)
+
+
 def test_the_console_prints_each_row(spark):
     out = []
     sinks.console("> ", out.append)(spark.range(2), 0)
@@ -224,6 +251,9 @@ def test_a_running_job_is_seen(spark, tmp_path):
             time.sleep(0.2)
         assert job.status()["state"] == supervisor.RUNNING
         assert sum(m["deserialization_failures"] for m in job.metrics()) == 1
+        gauges = dict(x.rsplit(" ", 1) for x in job.gauges().splitlines())
+        assert gauges['tidewheel_current_watermark{job="live"}'] == "NaN" and gauges['tidewheel_restarts{job="live"}'] == "0"
+        assert any(k.startswith('tidewheel_source_lag_records{job="live",source=') and 'partition="line"' in k for k in gauges)
         assert [(x["partition"], x["position"]) for x in job.lag() if x["partition"] == "line"] == [("line", 3)], job.intervals()[-1]["sources"]
     finally:
         cancelled = job.cancel()
@@ -231,6 +261,14 @@ def test_a_running_job_is_seen(spark, tmp_path):
     assert cancelled and job.status()["state"] == supervisor.CANCELLED and supervisor.has_checkpoint(spark, str(tmp_path / "cp"))
 
 
+def test_gauges_of_a_job_that_has_not_run():
+    job = supervisor.Job("none", lambda: None)
+    assert 'tidewheel_records_in{job="none"} NaN\n' in job.gauges()
+    job.history = [{"batchId": 0, "numInputRows": 5, "sources": [], "eventTime": {"watermark": "1970-01-01T00:00:01.500Z"}, "stateOperators": [{"memoryUsedBytes": 7}]}]
+    lines = job.gauges().splitlines()
+    assert 'tidewheel_current_watermark{job="none"} 1500' in lines and 'tidewheel_state_size_bytes{job="none"} 7' in lines
+
+
 def test_positions_by_partition():
     assert supervisor._positions('{"t": {"0": 3, "1": 4}}') == {"t.0": 3, "t.1": 4}
     assert supervisor._positions({"line": 2, "owner": "x"}) == supervisor._positions("{'line': 2, 'owner': 'x'}") == {"line": 2}

@@ -7,6 +7,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,6 +154,23 @@ class Job:
                 out.append({"source": s["description"], "partition": partition, "position": position, "end": end, "lag": None if end is None else max(0, end - position)})
         return out
 
+    def gauges(self) -> str:
+        """The last interval's numbers in the text form that scrapers read; NaN where there is no sample yet."""
+        last = (self.metrics() or [{}])[-1]
+        label = json.dumps(self.name, ensure_ascii=False)
+        mark = last.get("watermark")
+        seconds = datetime.fromisoformat(mark).timestamp() if mark else None
+        values = {
+            "records_in": last.get("records_in"), "busy_milliseconds": last.get("busy_ms"), "state_rows": last.get("state_rows"),
+            "state_size_bytes": last.get("state_bytes"), "late_rows": last.get("late_rows"), "deserialization_failures": last.get("deserialization_failures"),
+            "current_watermark": None if seconds is None else round(seconds * 1000), "restarts": self.status()["restarts"],
+        }
+        out = [f"tidewheel_{k}{{job={label}}} {'NaN' if v is None else v}" for k, v in values.items()]
+        for x in self.lag():
+            where = f"source={json.dumps(x['source'], ensure_ascii=False)},partition={json.dumps(x['partition'])}"
+            out.append(f"tidewheel_source_lag_records{{job={label},{where}}} {'NaN' if x['lag'] is None else x['lag']}")
+        return "\n".join(out) + "\n"
+
     def view(self, spark: SparkSession, name: str) -> DataFrame:
         """A view as a DataFrame, as of now: status, checkpoints, metrics or lag."""
         rows = getattr(self, name)()
